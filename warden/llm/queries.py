@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import media_avi
 from .common import pick, table
 from .decontaminate import decontaminate
 from .license_scan import license_scan
+from .secret_scan import secret_scan
 from .url_filter import GLOBS, RULES, url_filter
 
 
@@ -19,6 +21,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_avi.read(media_avi.media(table(spark, sf_dir, "documents")))
+    clips = F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"].cast("string"), c["n_frames"].cast("string"), F.format_number(c["brightness"], 2)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(" ", clips).alias("feature"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", spans).alias("spans"), "n_inferred")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -27,7 +41,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op7_media_avi, op8_secret_scan, op9_decontaminate)}
 
 
 def _glob_sql(glob: str) -> str:
