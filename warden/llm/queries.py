@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_avi
-from .common import pick, table
+from . import media_avi, toxicity
+from .common import fold_of, pick, table
 from .decontaminate import decontaminate
 from .license_scan import license_scan
 from .secret_scan import secret_scan
@@ -21,6 +21,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_avi.read(media_avi.media(table(spark, sf_dir, "documents")))
     clips = F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"].cast("string"), c["n_frames"].cast("string"), F.format_number(c["brightness"], 2)))
@@ -41,7 +48,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op7_media_avi, op8_secret_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_toxicity, op7_media_avi, op8_secret_scan, op9_decontaminate)}
 
 
 def _glob_sql(glob: str) -> str:
