@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_avi, toxicity
+from . import chat_format, media_avi, quality, toxicity
 from .common import fold_of, pick, table
 from .decontaminate import decontaminate
 from .license_scan import license_scan
@@ -28,6 +28,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.quality(docs, table(spark, sf_dir, "labels"))
+    good = F.col("score") >= quality.KEEP
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_rate", "path_rate", "score", good.cast("int").alias("predicted"), good.alias("keep"))
+
+
 def op7_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_avi.read(media_avi.media(table(spark, sf_dir, "documents")))
     clips = F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"].cast("string"), c["n_frames"].cast("string"), F.format_number(c["brightness"], 2)))
@@ -48,7 +59,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_toxicity, op7_media_avi, op8_secret_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_toxicity, op5_chat_format, op6_quality, op7_media_avi, op8_secret_scan, op9_decontaminate)}
 
 
 def _glob_sql(glob: str) -> str:
@@ -74,6 +85,7 @@ FROM parts p LEFT JOIN fits f USING (host, path) LEFT JOIN more m USING (host, p
 
 ORACLE_SQL = {
     "op1_url_filter": _url_filter_sql(),
+    "op5_chat_format": chat_format.SQL,
     "op9_decontaminate": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
  items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -176,8 +176,8 @@ def _learned(train: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
     return {w: "L" for w in top if w[-1] != "*"}, {w[:-1]: "L" for w in top if w[-1] == "*"}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Newton steps on the penalized likelihood; weights (the last is the bias) are pulled to ``start``, none below 0."""
+def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float = 0.05, steps: int = 60, floor: float = 0.0) -> np.ndarray:
+    """Newton steps on the penalized likelihood; weights (the last is the bias) are pulled to ``start``, none below ``floor``."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = start.copy()
     for _ in range(steps):
@@ -186,7 +186,7 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float = 0.05
         h = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 3.0 / max(1e-9, np.abs(step).max()))
-        w[:-1] = np.maximum(w[:-1], 0)
+        w[:-1] = np.maximum(w[:-1], floor)
         if np.abs(step).max() < 1e-6:
             break
     return w
