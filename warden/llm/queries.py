@@ -9,6 +9,7 @@ from . import chat_format, media_avi, quality, toxicity
 from .common import fold_of, pick, table
 from .decontaminate import decontaminate
 from .license_scan import license_scan
+from .ngram_join import ngram_join
 from .secret_scan import secret_scan
 from .url_filter import GLOBS, RULES, url_filter
 
@@ -59,7 +60,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_toxicity, op5_chat_format, op6_quality, op7_media_avi, op8_secret_scan, op9_decontaminate)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_toxicity, op5_chat_format, op6_quality, op7_media_avi, op8_secret_scan, op9_decontaminate, op10_ngram_join)}
 
 
 def _glob_sql(glob: str) -> str:
