@@ -14,7 +14,8 @@ other. The words are encoded once each:
 3. Each block's words with their ids and pieces meet the block's numbers again:
    ids and decoded texts by position, document by document.
 
-Words are shuffled once for each block they occur in, texts only as numbers.
+Words are shuffled once for each block they occur in. Texts are not shuffled:
+their numbers lie in a table bucketed by block, where the ids come to them.
 Buckets grow in number with the blocks, so a bucket stays small; a word that
 is in every block is one entry of each.
 
@@ -26,7 +27,8 @@ the strings of special tokens in a text are those tokens, as in the library.
 from __future__ import annotations
 
 import functools
-from collections import Counter
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 BUCKETS_EACH = 24  # about so many buckets of words has a block of a small corpus
 _BLOCK_TYPES = "block string, bucket int, docs binary, counts binary, numbers binary, words binary"
 
@@ -84,23 +86,41 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def _block_rows(name: str, ids: list[pa.Array], docs: list[list[bytes]], buckets: int) -> Iterator[dict]:
-    count = Counter(w for d in docs for w in d)
-    ranked = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
-    of = [xxhash.xxh3_64_intdigest(w) % buckets for w in ranked]
-    number = {w: i for i, w in enumerate(ranked)}
-    flat = np.fromiter((number[w] for d in docs for w in d), np.uint32, sum(map(len, docs)))
-    sink = pa.BufferOutputStream()
-    column = pa.chunked_array(ids)
-    with pa.ipc.new_stream(sink, pa.schema([("id", column.type)])) as out:
-        out.write_table(pa.table([column], names=["id"]))
-    yield {"block": name, "docs": _zip(sink.getvalue().to_pybytes()), "counts": pack(np.array([len(d) for d in docs], np.uint32)), "numbers": pack(flat)}
-    groups: dict[int, list[int]] = {}
-    for i, k in enumerate(of):
-        groups.setdefault(k, []).append(i)
-    for k, own in groups.items():
-        own.sort(key=ranked.__getitem__)  # like words side by side compress best
-        yield {"block": name, "bucket": k, "numbers": pack(np.array(own, np.uint32)), "words": _zip(b"\n".join(ranked[i] for i in own))}
+class _Block:
+    """Documents on their way into a block: words are numbers at once, so that a word's text is held once."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat = array("I")
+        self.counts: list[int] = []
+        self.ids: list[pa.Array] = []
+        self.size = 0
+
+    def add(self, raw: bytes) -> None:
+        number, words = self.number, raw.split()
+        self.flat.extend([number.setdefault(w, len(number)) for w in words])
+        self.counts.append(len(words))
+        self.size += len(raw)
+
+    def rows(self, name: str, buckets: int) -> Iterator[dict]:
+        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        words = list(self.number)
+        times = np.bincount(flat, minlength=len(words)).tolist()
+        of = [xxhash.xxh3_64_intdigest(w) % buckets for w in words]
+        # frequent words first; then by bucket and text, so that a bucket's words are like neighbours and its numbers runs
+        ranked = sorted(range(len(words)), key=lambda i: (-times[i], of[i], words[i]))
+        rank = np.empty(len(words), np.uint32)
+        rank[ranked] = np.arange(len(words), dtype=np.uint32)
+        sink = pa.BufferOutputStream()
+        column = pa.chunked_array(self.ids)
+        with pa.ipc.new_stream(sink, pa.schema([("id", column.type)])) as out:
+            out.write_table(pa.table([column], names=["id"]))
+        yield {"block": name, "docs": _zip(sink.getvalue().to_pybytes()), "counts": pack(np.array(self.counts, np.uint32)), "numbers": pack(rank[flat])}
+        groups: dict[int, list[int]] = {}
+        for k, i in enumerate(ranked):
+            groups.setdefault(of[i], []).append(k)
+        for bucket, own in groups.items():
+            yield {"block": name, "bucket": bucket, "numbers": pack(np.diff(np.array(own, np.uint32), prepend=np.uint32(0))), "words": _zip(b"\n".join(words[ranked[k]] for k in own))}
 
 
 def _frame(rows: list[dict]) -> pa.RecordBatch:
@@ -114,22 +134,20 @@ def split_blocks(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, no = TaskContext.get().partitionId(), 0
-        ids, words, size = [], [], 0
+        part, no, block = TaskContext.get().partitionId(), 0, _Block()
         for b in batches:
             at = 0
             for i, t in enumerate(b.column(1)):
                 raw = (t.as_py() or "").encode()
-                if words and size + len(raw) > block_bytes:
-                    ids.append(b.column(0).slice(at, i - at))
-                    for r in _block_rows(f"{part}-{no}", ids, words, buckets):
+                if block.counts and block.size + len(raw) > block_bytes:
+                    block.ids.append(b.column(0).slice(at, i - at))
+                    for r in block.rows(f"{part}-{no}", buckets):
                         yield _frame([r])
-                    ids, words, size, at, no = [], [], 0, i, no + 1
-                words.append(raw.split())
-                size += len(raw)
-            ids.append(b.column(0).slice(at))
-        if words:
-            for r in _block_rows(f"{part}-{no}", ids, words, buckets):
+                    block, at, no = _Block(), i, no + 1
+                block.add(raw)
+            block.ids.append(b.column(0).slice(at))
+        if block.counts:
+            for r in block.rows(f"{part}-{no}", buckets):
                 yield _frame([r])
 
     return docs.mapInArrow(run, _BLOCK_TYPES)
@@ -174,7 +192,7 @@ def join_back(blocks: DataFrame, words: DataFrame, vocabulary, id_type: str) ->
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pieces = _tokenizer(vocabulary.value)
-        parts = [(unpack(n), unpack(s), unpack(i)) for n, s, i in zip(*(right[c].to_pylist() for c in ("numbers", "sizes", "ids")), strict=True)]
+        parts = [(np.cumsum(unpack(n), dtype=np.uint32), unpack(s), unpack(i)) for n, s, i in zip(*(right[c].to_pylist() for c in ("numbers", "sizes", "ids")), strict=True)]
         n_words = sum(len(n) for n, _, _ in parts)
         size, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
         text: list[str | None] = [None] * n_words
@@ -217,6 +235,11 @@ def bpe(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary or tokenizer_json())  # one vocabulary file
     # blocks are at most the input's partitions, or its bytes over the block size; a bucket holds about a block's worth of words
     buckets = max(BUCKETS_EACH, docs.rdd.getNumPartitions() * 2)
-    cut = stored(split_blocks(docs, buckets, block_bytes), "blocks", "none")  # its columns are compressed already
+    spark, parts = docs.sparkSession, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = split_blocks(docs, buckets, block_bytes)
+    # bucketed by block: what waits for the words' ids is not shuffled again
+    name, path = f"warden_blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    cut.write.option("path", path).option("compression", "none").bucketBy(parts, "block").saveAsTable(name)  # its columns are compressed already
+    cut = spark.table(name)
     words = encode_words(cut.where("bucket is not null"), sent)
     return join_back(cut.where("bucket is null").select("block", "docs", "counts", "numbers"), words, sent, docs.schema["id"].dataType.simpleString()).withColumnRenamed("id", id_col)
