@@ -8,15 +8,12 @@ shingles of each, the prefixes, share one.
 
 1. Prefix rows (shingle, node) are counted by shingle; those of shingles that
    one node only has go. What is left is small.
-2. Star round: in every group (shingle, size class) the least node is the hub,
-   and each other member is one candidate pair with it, so a group of N costs
-   N - 1 pairs. Linked pairs make components.
-3. Crowded shingles, with more than ``CROWDED`` nodes in several components, tie
-   their nodes into regions. A region's nodes are dealt over blocks by size
-   class and hash, and every block is joined with the blocks whose sizes can
-   link: sets go in, links come out, and no pair is ever a row.
-4. Of the other shingles, pairs across components are candidates (a node has at
-   most ``CROWDED`` partners by shingle).
+2. Shingles with up to ``CROWDED`` nodes give pairs of these, counted by pair: a
+   link needs more than one shared prefix shingle, about half a prefix, and
+   pairs with fewer go. The others are verified.
+3. Shingles with more nodes tie them into regions. A region's nodes are dealt
+   over blocks by size class and hash, and every block is joined with the
+   blocks whose sizes can link: sets go in, links come out, no pair is a row.
 
 A join of two sides puts one side's ordered sets into a path-compressed trie.
 The traversal counts a shared path's overlap with all sets of the other side
@@ -51,7 +48,7 @@ BUCKETS = 1 << 21  # of the count sketch: its size is the same for any corpus
 CHUNK = 1 << 13
 FILTER_BITS = 1 << 25  # of the filter of candidate documents
 BLOCK = 256  # sets in one trie
-CROWDED = 64  # nodes beyond which a shingle's nodes are joined in blocks instead of in pairs
+CROWDED = 32  # nodes beyond which a shingle's nodes are joined in blocks instead of in pairs
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _A, _B, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), (np.uint64(30), np.uint64(27), np.uint64(31))
@@ -115,36 +112,33 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes(docs: DataFrame, seed: int) -> DataFrame:
-    """(id, node, check, n) of each document; node is null where there are no shingles."""
+    """One pass over the texts: a row (id, node, check, n) for each document, and rows (chunk, counts) of the count sketch.
+
+    node is null where there are no shingles. A task counts the shingles of its
+    documents in one array of fixed size, whatever the corpus.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, schema = np.zeros(BUCKETS, np.uint32), None
         for b in _slices(batches):
             sets = shingle_sets(b.column(1).to_pylist(), seed)
             signed = [signatures(s) if len(s) else (None, None) for s in sets]
-            schema = pa.schema([b.schema.field(0), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64())])
-            yield batch(schema, b.column(0), [x[0] for x in signed], [x[1] for x in signed], [len(s) for s in sets])
-
-    return docs.mapInArrow(run, f"id {kind}, node long, check long, n long")
-
-
-def crowd_sketch(docs: DataFrame, seed: int) -> np.ndarray:
-    """How many documents' shingles fall into each of ``BUCKETS`` buckets, as 16 bits in proportion.
-
-    A task counts in one array of fixed size and hands it on in chunks; chunks
-    are added up as they stream in. Neither depends on the corpus' size.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
-        for b in _slices(batches):
-            sets = [s for s in shingle_sets(b.column(0).to_pylist(), seed) if len(s)]
-            if sets:
-                total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            schema = pa.schema([b.schema.field(0), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+            yield batch(schema, b.column(0), [x[0] for x in signed], [x[1] for x in signed], [len(s) for s in sets], pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
+            if some := [s for s in sets if len(s)]:
+                total += np.bincount((np.concatenate(some) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
         few = np.minimum(total, 65535).astype("<u2").reshape(-1, CHUNK)
         at = np.flatnonzero(few.any(axis=1))
         for k in range(0, len(at), 32):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 32], pa.int32()), pa.array([few[i].tobytes() for i in at[k : k + 32]], pa.binary())], names=["chunk", "counts"])
+            own = at[k : k + 32]
+            yield batch(schema, pa.nulls(len(own), schema.field(0).type), *(pa.nulls(len(own), pa.int64()) for _ in range(3)), own.tolist(), [few[i].tobytes() for i in own])
+
+    return docs.mapInArrow(run, f"id {kind}, node long, check long, n long, chunk int, counts binary")
+
+
+def crowd_sketch(found: DataFrame) -> np.ndarray:
+    """How many documents' shingles fall into each of ``BUCKETS`` buckets, as 16 bits in proportion: chunks are added up as they stream in."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -155,7 +149,7 @@ def crowd_sketch(docs: DataFrame, seed: int) -> np.ndarray:
         for i, x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype("<u8").tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+    parts = found.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros(BUCKETS, np.uint64)
     for r in parts.collect():  # BUCKETS numbers, whatever the corpus
         out[r[0] * CHUNK : (r[0] + 1) * CHUNK] = np.frombuffer(r[1], "<u8")
@@ -184,11 +178,10 @@ def prefixes(docs: DataFrame, crowd, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, node long, n int")
 
 
-def _member_filter(ids: DataFrame) -> np.ndarray:
-    """Bits at the ids' hashes: a filter of fixed size (it lets others through, never the reverse)."""
+def _member_filter(hashes: DataFrame) -> np.ndarray:
+    """Bits at the hashes (column h): a filter of fixed size (it lets others through, never the reverse)."""
     words = FILTER_BITS // 64
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = ids.select(h.alias("h")).select(F.floor(F.col("h") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit"))
+    bits = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("h")).select(F.floor(F.col("h") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit"))
     packed = bits.groupBy("at").agg(F.bit_or("bit").alias("bit"))
     out = np.zeros(words, np.int64)
     for b in packed.mapInArrow(_as_bytes, "at binary, bit binary").collect():  # at most FILTER_BITS / 64 numbers
@@ -201,17 +194,32 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b.column(1).to_numpy().tobytes()], pa.binary())], names=["at", "bit"])
 
 
+def _in_filter(bits: np.ndarray, h: np.ndarray) -> pa.Array:
+    return pa.array((bits.view(np.uint64)[h // 64] >> (h % 64).astype(np.uint64) & np.uint64(1)) > 0)
+
+
+def shared_prefixes(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """The prefix rows of shingles that several nodes have: a fixed-size filter first, so that few are shuffled, then the join."""
+    bits = rows.sparkSession.sparkContext.broadcast(_member_filter(several.select(F.col("shingle").alias("h"))))  # FILTER_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(_in_filter(bits.value, np.mod(b.column(0).to_numpy(), FILTER_BITS)))
+
+    return rows.mapInArrow(run, "shingle long, node long, n int").join(several, "shingle").distinct()
+
+
 def ordered_sets(docs: DataFrame, wanted: DataFrame, crowd, seed: int) -> DataFrame:
     """(node, path) of the wanted documents (id, node): the set from its most crowded shingle on, big-endian."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_member_filter(wanted.select("id")))  # FILTER_BITS
+    bits = spark.sparkContext.broadcast(_member_filter(wanted.select(F.xxhash64("id").alias("h"))))  # FILTER_BITS
     hashed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             h = b.column(2).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array((bits.value.view(np.uint64)[h // 64] >> (h % 64).astype(np.uint64) & np.uint64(1)) > 0))
+            b = b.filter(_in_filter(bits.value, h))
             sets = shingle_sets(b.column(1).to_pylist(), seed)
             schema = pa.schema([b.schema.field(0), ("path", pa.binary())])
             yield batch(schema, b.column(0), [ordered(s, crowd.value)[::-1].astype(">u8").tobytes() for s in sets])
@@ -361,59 +369,55 @@ def components(edges: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return shared.withColumn("label", F.col("node"))
-    return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _star(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of each group (shingle, size class): the least label's least node, and every member of another label."""
-    grouped = rows.groupBy("shingle", "class").agg(F.min(F.struct("label", "node")).alias("h"), F.max("label").alias("most")).where("most > h.label")
-    hubs = grouped.select("shingle", "class", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
-    return rows.join(hubs, ["shingle", "class"]).where("label <> hub_label").select("hub", "node")
+def candidate_pairs(few: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(hub, node): pairs of nodes whose shared prefix shingles can be enough.
 
-
-def links(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
-    """(node, label) of the nodes that link with others; ids: (node, id: its representative, n)."""
-    spark = docs.sparkSession
-    crowd = spark.sparkContext.broadcast(crowd_sketch(docs, seed))  # BUCKETS numbers
-    rows = prefixes(docs, crowd, seed)
+    With w the lesser of the prefixes' last shingles, what the sets share up to
+    w is in both prefixes, and past it at most the rest of one set. So a link
+    needs that many shared prefix shingles; those among the crowded ones are
+    taken as the most there can be.
+    """
+    more = crowded.groupBy("node").agg(F.count("shingle").alias("k"))
+    left, right = few.select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n")), few.select("shingle", "node", "n")
+    met = left.join(right, "shingle").where(f"hub < node and 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)")
+    met = met.groupBy("hub", "node").agg(F.count("shingle").alias("c"), F.first("hub_n").alias("hub_n"), F.first("n").alias("n"))
+    met = met.join(more.select(F.col("node").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").join(more, "node", "left")
+    rest = f"((({PERCENT} * greatest(n, hub_n) + 99) div 100) - 1)"
+    wanted = f"(({PERCENT} * (n + hub_n) + {99 + PERCENT}) div {100 + PERCENT})"
+    return met.where(f"c + least(coalesce(k, 0), coalesce(hub_k, 0)) >= {wanted} - {rest}").select("hub", "node")
+
+
+def links(docs: DataFrame, found: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
+    """(node, label) of the nodes that link with others; ids: (node, id: its representative)."""
+    crowd = docs.sparkSession.sparkContext.broadcast(crowd_sketch(found))  # BUCKETS numbers
+    rows = stored(prefixes(docs, crowd, seed), "prefixes")
     several = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("shingle")
-    width = -np.log(PERCENT / 100)
-    shared = rows.join(several, "shingle").distinct().withColumn("class", F.floor(F.log("n") / float(width)).cast("int"))
-    shared = stored(shared, "prefixes")
-    wanted = shared.select("node").distinct().join(ids, "node").select("id", "node")
-    sets = stored(ordered_sets(docs, wanted, crowd, seed), "sets")
-    # one star round: most of what links is one component after it
-    pairs = _star(_labelled(shared, None)).select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-    found = stored(verified(pairs, sets), "links")
-    labels = stored(components(found), "labels")
-    # crowded shingles: the nodes that they tie together are joined in blocks
-    rows = stored(_labelled(shared, labels), "rows")
-    groups = stored(rows.groupBy("shingle").agg(F.count("node").alias("members"), F.min("node").alias("hub"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b"), "groups")
-    crowded = groups.where(F.col("members") > CROWDED)
+    shared = stored(shared_prefixes(rows, stored(several, "several")), "shared")
+    sizes = shared.groupBy("shingle").agg(F.count("node").alias("members"), F.min("node").alias("first"))
+    few = shared.join(sizes.where(f"members <= {CROWDED}").select("shingle"), "shingle")
+    crowded = stored(shared.join(sizes.where(f"members > {CROWDED}").select("shingle", "first"), "shingle"), "crowded")
+    pairs = stored(candidate_pairs(few, crowded), "pairs")
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).unionByName(crowded.select("node")).distinct().join(ids, "node").select("id", "node")
+    sets = stored(ordered_sets(docs, stored(wanted, "wanted"), crowd, seed), "sets")
+    edges = stored(verified(pairs, sets), "links")
     if crowded.limit(1).count():
-        tied = components(rows.join(crowded.select("shingle", "hub"), "shingle").select("hub", "node").distinct()).withColumnRenamed("label", "region")
-        members = rows.select("node", "label", "class").distinct().join(tied, "node")
-        found = found.unionByName(stored(region_links(members, sets), "links"))
-        rows = stored(_labelled(shared, stored(components(found), "labels")), "rows")
-    # the others: few nodes by shingle, so their pairs across components are few
-    left = rows.join(groups.where(F.col("members") <= CROWDED).select("shingle"), "shingle")
-    right = left.select("shingle", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
-    pairs = left.join(right, "shingle").where(f"label <> hub_label and node > hub and 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)").select("hub", "node").distinct()
-    return stored(components(found.unionByName(stored(verified(pairs, sets), "links"))), "labels")
+        tied = components(crowded.select(F.col("first").alias("hub"), "node").distinct()).withColumnRenamed("label", "region")
+        members = crowded.select("node", F.floor(F.log("n") / float(-np.log(PERCENT / 100))).cast("int").alias("class")).distinct().join(tied, "node")
+        members = members.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        edges = edges.unionByName(stored(region_links(stored(members, "members"), sets), "links"))
+    return stored(components(edges), "labels")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """(id, n_shingles, component_id): the least id that links reach."""
     docs = pick(docs, id_col, text_col).toDF("id", "text")
-    of = stored(nodes(docs, seed), "nodes")
+    found = stored(nodes(docs, seed), "nodes")
+    of = found.where("chunk is null").select("id", "node", "check", "n")
     ids = of.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("a"), F.max("check").alias("b"))
     if ids.where("a <> b").limit(1).count():  # two sets of one signature: as good as never
         return ngram_join(docs, "id", "text", seed + 1).withColumnRenamed("id", id_col)
     ids = stored(ids.select("node", "id"), "ids")
-    labels = links(docs, ids, seed)
+    labels = links(docs, found, ids, seed)
     named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
