@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import pick, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 BUCKETS_EACH = 24  # about so many buckets of words has a block of a small corpus
 _BLOCK_TYPES = "block string, bucket int, docs binary, counts binary, numbers binary, words binary"
 
