@@ -58,3 +58,13 @@ def be32(c: Column) -> Column:
 
 def be64(c: Column) -> Column:
     return F.unhex(F.lpad(F.hex(c.cast("bigint")), 16, "0"))
+
+
+def byte_range(c: Column, location: Column, length: Column) -> tuple[Column, Column]:
+    """(text, sqlstate) of a byte range: all of it below location 0, to the end with length 0; XX000 for a range outside the text or inside a character."""
+    raw, size = F.encode(c, "utf-8"), F.octet_length(c)
+    end = F.when(length == 0, size).otherwise(location + length)
+    inside = lambda at: F.coalesce(F.hex(F.substring(raw, at + 1, F.lit(1))).between("80", "BF"), F.lit(False))
+    bad = (location >= 0) & ((length < 0) | (location > size) | (end > size) | inside(location) | inside(end))
+    text = F.when(location < 0, c).when(~bad, F.decode(F.substring(raw, location + 1, end - location), "utf-8"))
+    return text, F.when(bad, "XX000")

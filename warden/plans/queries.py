@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import families, native_lex
 from ..functions.lexer import KEYWORDS
-from ..functions.text import ipv4, split_list, statement_text, utf8_cut, utf8_prefix
-from ..operators import audit, decide, gates, learn, rate
+from ..functions.text import byte_range, ipv4, split_list, statement_text, utf8_cut, utf8_prefix
+from ..operators import audit, decide, gates, learn, rate, shaping
 from ..operators.decide import Policy
 from ..settings import Settings
 from ..sources import statements as src
@@ -242,8 +242,7 @@ def regex_semi_join(spark, sf_dir):
 FROM (VALUES ('a+'), ('a++'), ('(?:x{{3}})'), ('b**c'), ('x+*'), ('delete\\s+from'), ('(?i)ok')) AS t(pattern)""")
 def regex_validation(spark, sf_dir):
     patterns = ["a+", "a++", "(?:x{3})", "b**c", "x+*", r"delete\s+from", "(?i)ok"]
-    refused = F.col("pattern").rlike(r"\(\?[^)]*\{[^}]*\}[^)]*\)") | F.col("pattern").rlike(r"[*+]\+|\*\*|\+\*")
-    return spark.createDataFrame([(p,) for p in patterns], "pattern string").select("pattern", refused.alias("refused"))
+    return spark.createDataFrame([(p,) for p in patterns], "pattern string").select("pattern", gates.pattern_refused(F.col("pattern")).alias("refused"))
 
 
 # --- rates
@@ -583,4 +582,69 @@ def queue_order(spark, sf_dir):
     return audit.numbered(log(spark, sf_dir).select("stmt_id", "decided_at"), ["decided_at", "stmt_id"]).select("stmt_id", "log_id")
 
 
+# --- shaping across rows, and what is inspected at all
+
+
+@query(f"""{BASE}, r AS (SELECT stmt_id, query_text, CASE stmt_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 4000 END AS loc, CASE stmt_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 6 ELSE -2 END AS len FROM stmts)
+SELECT stmt_id, CASE WHEN loc < 0 THEN query_text WHEN len < 0 OR loc > strlen(query_text) OR loc + len > strlen(query_text) THEN NULL WHEN len = 0 THEN substr(query_text, loc + 1) ELSE substr(query_text, loc + 1, len) END AS statement,
+ CASE WHEN loc >= 0 AND (len < 0 OR loc > strlen(query_text) OR loc + len > strlen(query_text)) THEN 'XX000' END AS sqlstate FROM r""")
+def statement_range(spark, sf_dir):
+    i = F.col("stmt_id")
+    loc = F.when(i % 4 == 0, -1).when(i % 4 == 1, 3).when(i % 4 == 2, 5).otherwise(4000)
+    size = F.when(i % 3 == 0, 0).when(i % 3 == 1, 6).otherwise(-2)
+    text, state = byte_range(F.col("query_text"), F.col("loc"), F.col("len"))
+    return log(spark, sf_dir).select("stmt_id", "query_text", loc.alias("loc"), size.alias("len")).select("stmt_id", text.alias("statement"), state.alias("sqlstate"))
+
+
+@query(f"""{BASE}, r AS (SELECT stmt_id, db_oid AS session_id, role_name AS source_text, stmt_id % 5 = 0 AS is_utility, CASE WHEN stmt_id % 5 = 0 THEN stmt_id % 100 WHEN stmt_id % 7 = 0 THEN 1 END AS location FROM stmts),
+ w AS (SELECT *, last_value(CASE WHEN is_utility THEN location END IGNORE NULLS) OVER (PARTITION BY session_id, source_text ORDER BY stmt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM r)
+SELECT stmt_id, CASE WHEN NOT is_utility AND location IS NULL THEN up ELSE location END AS location, NOT is_utility AND location IS NULL AND up IS NOT NULL AS inherited FROM w""")
+def enclosing_span(spark, sf_dir):
+    i = F.col("stmt_id")
+    at = F.when(i % 5 == 0, i % 100).when(i % 7 == 0, 1)
+    rows = log(spark, sf_dir).select("stmt_id", F.col("db_oid").alias("session_id"), F.col("role_name").alias("source_text"), (i % 5 == 0).alias("is_utility"), at.alias("location"), at.alias("length"))
+    return shaping.enclosing_span(rows).select("stmt_id", "location", "inherited")
+
+
+@query(f"{BASE} SELECT stmt_id, CASE stmt_id % 5 WHEN 0 THEN 'extension_created' WHEN 1 THEN 'trigger_changed' WHEN 2 THEN 'membership_changed' END AS change FROM stmts WHERE stmt_id % 5 < 3")
+def catalog_changes(spark, sf_dir):
+    i = F.col("stmt_id") % 5
+    rows = log(spark, sf_dir).select("stmt_id", F.when(i == 0, "create").when(i == 1, "drop").when(i == 2, "alter").otherwise("create").alias("access"), F.when(i == 1, "trigger").when(i > 2, "table").otherwise("extension").alias("class"))
+    return shaping.catalog_changes(rows).select("stmt_id", "change")
+
+
+@query(f"{BASE} SELECT fault, count(*) AS n FROM (SELECT CASE WHEN client_addr IS NULL THEN 'address' WHEN stmt_id % 13 = 0 THEN 'number' WHEN length(query_text) > 60 THEN 'length' END AS fault FROM stmts) GROUP BY fault")
+def poison_isolation(spark, sf_dir):
+    number = F.when(F.col("stmt_id") % 13 == 0, "x").otherwise(F.col("stmt_id").cast("string"))
+    checks = {"address": F.col("client_addr").isNotNull(), "number": number.try_cast("bigint").isNotNull(), "length": F.length("query_text") <= 60}
+    return shaping.quarantined(log(spark, sf_dir), checks).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(f"{BASE} SELECT verdict, count(*) AS n FROM (SELECT CASE db_oid WHEN 1 THEN 'inspect' WHEN 2 THEN 'refuse' ELSE 'skip' END AS verdict FROM stmts) GROUP BY verdict")
+def installation_state(spark, sf_dir):
+    there = spark.sql("SELECT * FROM (VALUES (1L, 'active'), (2L, 'unavailable')) AS t(db_oid, state)")
+    return shaping.installation_state(log(spark, sf_dir), there, "enforce").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"{BASE} SELECT stmt_id FROM stmts WHERE stmt_id % 6 NOT IN (1, 2) AND stmt_id % 11 <> 0 AND stmt_id % 17 <> 0")
+def inspected_statements(spark, sf_dir):
+    i = F.col("stmt_id")
+    kind = F.when(i % 6 == 1, "parallel worker").when(i % 6 == 2, "logical replication").when(i % 6 == 3, "job worker").otherwise("client")
+    rows = log(spark, sf_dir).withColumns({"backend_kind": kind, "is_superuser": i % 11 == 0, "family": F.when(i % 17 == 0, "ROLLBACK").otherwise(F.col("command_type"))})
+    return gates.inspected(rows, Settings()).select("stmt_id")
+
+
+@query(f"{BASE} SELECT stmt_id, CASE WHEN stmt_id % 3 = 0 AND command_type IN ('SELECT','INSERT','UPDATE','DELETE') THEN command_type WHEN stmt_id % 3 = 0 THEN 'OTHER' ELSE 'OTHER' END AS family FROM stmts")
+def planned_family(spark, sf_dir):
+    kind = F.when(F.col("stmt_id") % 3 == 0, F.col("command_type")).otherwise(F.lit("UTILITY"))
+    return log(spark, sf_dir).select("stmt_id", families.planned_family(kind).alias("family"))
+
+
+@query("""SELECT action, CASE WHEN starts_with(action, 'ALLOWED (PERMISSIVE') THEN 'would_block' WHEN starts_with(action, 'ALLOWED (LEARN') OR starts_with(action, 'LEARNED') THEN 'learn' WHEN starts_with(action, 'ALLOWED (OTHER)') THEN 'unchecked' ELSE 'allowed' END AS decision
+FROM (VALUES ('ALLOWED'), ('ALLOWED (OTHER)'), ('ALLOWED (LEARN MODE - AUTO)'), ('LEARNED (FINGERPRINT AUTO)'), ('ALLOWED (PERMISSIVE - PENDING)')) AS t(action)""")
+def decision_class(spark, sf_dir):
+    actions = ["ALLOWED", "ALLOWED (OTHER)", "ALLOWED (LEARN MODE - AUTO)", "LEARNED (FINGERPRINT AUTO)", "ALLOWED (PERMISSIVE - PENDING)"]
+    return spark.createDataFrame([(a,) for a in actions], "action string").select("action", decide.decision_class(F.col("action")).alias("decision"))
+
+
 assert reduce(lambda a, b: a and b in QUERIES, ORACLE_SQL, True)
