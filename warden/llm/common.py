@@ -35,12 +35,24 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long, so Arrow batches of them hold few rows; a session's own setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, so extra columns (whatever their names) never meet ours."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, stored
+from .common import alnum_words, small_batches, stored
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -216,6 +216,7 @@ def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, shard_word
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, text_col: str = "text", carry_text: bool = False) -> DataFrame:
     """All columns of ``docs`` (the text only if asked for) and ``STATE``, with ``_n_hit`` for the hit words."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if carry_text or c != text_col]
     out = docs
     todo = _blocks(benchmark, block_bytes)

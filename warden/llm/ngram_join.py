@@ -47,6 +47,7 @@ PERCENT = 85
 BUCKETS = 1 << 21  # of the count sketch: its size is the same for any corpus
 CHUNK = 1 << 13
 FILTER_BITS = 1 << 25  # of the filter of candidate documents
+CLASS = -1.001 * float(np.log(PERCENT / 100))  # in logarithms of sizes: sets that link are in one size class or in neighbours
 BLOCK = 256  # sets in one trie
 CROWDED = 32  # nodes beyond which a shingle's nodes are joined in blocks instead of in pairs
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -402,7 +403,7 @@ def links(docs: DataFrame, found: DataFrame, ids: DataFrame, seed: int) -> DataF
     edges = stored(verified(pairs, sets), "links")
     if crowded.limit(1).count():
         tied = components(crowded.select(F.col("first").alias("hub"), "node").distinct()).withColumnRenamed("label", "region")
-        members = crowded.select("node", F.floor(F.log("n") / float(-np.log(PERCENT / 100))).cast("int").alias("class")).distinct().join(tied, "node")
+        members = crowded.select("node", F.floor(F.log("n") / CLASS).cast("int").alias("class")).distinct().join(tied, "node")
         members = members.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
         edges = edges.unionByName(stored(region_links(stored(members, "members"), sets), "links"))
     return stored(components(edges), "labels")
