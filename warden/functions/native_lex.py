@@ -45,31 +45,41 @@ def written(t: Column) -> Column:
     )
 
 
-def canonical(c: Column) -> Column:
-    return F.array_join(F.transform(tokens(c), written), " ")
+def canonical(c: Column, t: Column | None = None) -> Column:
+    """Canonical text. ``t``, here and below: the tokens as a column of their own, so that they are made once for all uses."""
+    return F.array_join(F.transform(tokens(c) if t is None else t, written), " ")
 
 
-def words(c: Column) -> Column:
+def words(c: Column, t: Column | None = None) -> Column:
     """Tokens joined by blanks, for word matching: names lower-cased and bare, literals as ``?``."""
     bare = lambda t: F.when(t.startswith('"'), F.regexp_replace(lower_ascii(F.substring(t, 2, 2147483647)), r'\s|"', "")).otherwise(lower_ascii(t))
-    return F.concat(F.lit(" "), F.array_join(F.transform(tokens(c), lambda t: F.when(kind(t).isin("str", "int", "num"), "?").otherwise(bare(t))), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(F.transform(tokens(c) if t is None else t, lambda x: F.when(kind(x).isin("str", "int", "num"), "?").otherwise(bare(x))), " "), F.lit(" "))
 
 
-def keyword_hit(c: Column, keywords: list[str]) -> Column:
-    """The first configured keyword (of one or more words) that stands in the statement, else null."""
-    w = words(c)
+def keyword_hit(c: Column, keywords: list[str], t: Column | None = None) -> Column:
+    """The first configured keyword (of one or more words) that stands in the statement, else null.
+
+    Only texts that contain one of a keyword's words at all are looked at by token.
+    """
+    w = words(c, t)
+    near = F.lit(False)
+    for k in keywords:
+        near = near | F.contains(lower_ascii(c), F.lit(k.split()[0] if k.split() else k))
+    return F.when(near, _first_hit(w, keywords))
+
+
+def _first_hit(w: Column, keywords: list[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(w, F.lit(f" {' '.join(k.split())} ")), F.lit(k)) for k in keywords], F.lit(None).cast("string"))
 
 
-def tautology(c: Column) -> Column:
+def tautology(c: Column, t: Column | None = None) -> Column:
     """Whether ``OR literal = literal`` with equal values stands in the statement."""
-    t = tokens(c)
-    value = lambda x: F.when(x.startswith("'"), F.substring(F.substring(x, 2, 2147483647), 1, 2147483647)).otherwise(x)
-    plain = lambda x: F.regexp_replace(F.regexp_replace(value(x), "^'", ""), "'$", "")
+    t = tokens(c) if t is None else t
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, "^'", ""), "'$", "")
     literal = lambda x: kind(x).isin("str", "int", "num")
     at = lambda i, k: F.get(t, i + k)
     places = F.when(F.size(t) >= 4, F.sequence(F.lit(0), F.size(t) - 4)).otherwise(F.array().cast("array<int>"))
-    return F.exists(places, lambda i: (lower_ascii(at(i, 0)) == "or") & literal(at(i, 1)) & (at(i, 2) == "=") & literal(at(i, 3)) & (plain(at(i, 1)) == plain(at(i, 3))))
+    return c.rlike("(?i)or") & c.contains("=") & F.exists(places, lambda i: (lower_ascii(at(i, 0)) == "or") & literal(at(i, 1)) & (at(i, 2) == "=") & literal(at(i, 3)) & (plain(at(i, 1)) == plain(at(i, 3))))
 
 
 def fingerprint(canonical_text: Column, system_identifier: Column, db_oid: Column, extension_oid: Column, relations: Column | None = None, items: Column | None = None, domain: bytes = DOMAIN) -> Column:

@@ -37,16 +37,19 @@ def decision_class(action: Column) -> Column:
 
 def fingerprinted(statements: DataFrame, policy: Policy) -> DataFrame:
     """Statements with their canonical text and fingerprint."""
-    text = statements.withColumn("canonical", native_lex.canonical(F.col("query_text")))
+    tokens = F.col("_tokens") if "_tokens" in statements.columns else None
+    text = statements.withColumn("canonical", native_lex.canonical(F.col("query_text"), tokens))
     return text.withColumn("fingerprint", native_lex.fingerprint(F.col("canonical"), F.lit(policy.system_identifier), F.col("db_oid"), F.lit(policy.extension_oid)))
 
 
 def gate_reasons(statements: DataFrame, s: Settings, policy: Policy, server_zone: str = "UTC") -> DataFrame:
     """Statements with gate_reason and sqlstate of the first gate that refuses; the order is part of the semantics."""
     c = F.col
+    if "_tokens" not in statements.columns:
+        statements = statements.withColumn("_tokens", native_lex.tokens(c("query_text")))
     session = F.coalesce(gates.ip_reason(s, c("client_addr")), gates.app_reason(s, c("application_name")), gates.binding_reason(s, c("role_name"), c("client_addr")))
     steps = [
-        (session, "42501"), (gates.quiet_reason(s, c("decided_at"), server_zone), "42501"), (gates.keyword_reason(s, c("query_text")), "42000"), (gates.tautology_reason(s, c("query_text")), "42501"),
+        (session, "42501"), (gates.quiet_reason(s, c("decided_at"), server_zone), "42501"), (gates.keyword_reason(s, c("query_text"), c("_tokens")), "42000"), (gates.tautology_reason(s, c("query_text"), c("_tokens")), "42501"),
         (gates.regex_reason_column([(p, list(x) if x else None) for p, x in policy.rules] if s.enable_regex_scan else [], c("query_text"), c("role_name")), "42501"),
     ]
     first = F.coalesce(*[F.when(reason.isNotNull(), F.struct(reason.alias("reason"), F.lit(state).alias("sqlstate"))) for reason, state in steps])
@@ -66,7 +69,7 @@ def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str
         open_ = rate.rate_reasons(rows.where("gate_reason is null and role_name is not null"), s)
         rows = open_.unionByName(rows.where("gate_reason is not null or role_name is null").withColumn("rate_reason", F.lit(None).cast("string")))
         rows = rows.withColumns({"gate_sqlstate": F.coalesce("gate_sqlstate", F.when(c("rate_reason").isNotNull(), "53400")), "gate_reason": F.coalesce("gate_reason", "rate_reason")}).drop("rate_reason")
-    rows = fingerprinted(rows, policy)
+    rows = fingerprinted(rows, policy).drop("_tokens")
     approvals = policy.approvals.select(c("role_name").alias("_ar"), c("command_type").alias("_ac"), c("is_approved").alias("_approved"))
     rows = rows.join(approvals, (c("role_name") == c("_ar")) & (c("command_type") == c("_ac")), "left")
     if policy.fingerprints is not None:
