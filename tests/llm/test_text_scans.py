@@ -87,7 +87,8 @@ def test_toxicity_grammar():
     g = toxicity.Grammar()
     counts = lambda t: {p: n for p, n in zip(toxicity.PATTERNS, g.counts(t), strict=True) if n}
     assert counts("You are an idiot.") == {"insult_target": 1}
-    assert counts("He said idiot. Not stupid.") == {"insult_reported": 1, "insult_negated": 1} or counts("She said: idiot") == {"insult": 1}
+    assert counts("He said idiot. Not stupid.") == {"insult_reported": 1, "insult_negated": 1}
+    assert counts("She said: idiot") == {"insult": 1}
     assert counts("trash; I will hurt you") == {"insult": 1, "threat_target": 1}
     assert counts(None) == counts("") == counts("a plain text") == {}
     assert g.score(g.counts("you moron")) > g.score(g.counts("not a moron")) > g.score(g.counts("a plain text"))
