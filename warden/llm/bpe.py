@@ -16,8 +16,8 @@ other. The words are encoded once each:
 
 Words are shuffled once for each block they occur in. Texts are not shuffled:
 their numbers lie in a table bucketed by block, where the ids come to them.
-Buckets grow in number with the blocks, so a bucket stays small; a word that
-is in every block is one entry of each.
+There are as many buckets as shuffle partitions, so a bucket stays small where
+those are sized to the data; a word that is in every block is one entry of each.
 
 Defined cases: null and empty texts have no ids and decode to an empty text;
 null ids are kept; repeated rows give repeated rows; extra columns are left out;
@@ -42,7 +42,7 @@ from .common import pick, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_BYTES = 8 << 20
-BUCKETS_EACH = 24  # about so many buckets of words has a block of a small corpus
+BUCKETS_LEAST = 24
 _BLOCK_TYPES = "block string, bucket int, docs binary, counts binary, numbers binary, words binary"
 
 
@@ -233,9 +233,9 @@ def bpe(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     """
     docs = pick(docs, id_col, text_col).toDF("id", "text")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary or tokenizer_json())  # one vocabulary file
-    # blocks are at most the input's partitions, or its bytes over the block size; a bucket holds about a block's worth of words
-    buckets = max(BUCKETS_EACH, docs.rdd.getNumPartitions() * 2)
-    spark, parts = docs.sparkSession, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(BUCKETS_LEAST, parts)  # a bucket of words is a shuffle partition's worth, as the session sizes them
     cut = split_blocks(docs, buckets, block_bytes)
     # bucketed by block: what waits for the words' ids is not shuffled again
     name, path = f"warden_blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
