@@ -66,6 +66,23 @@ def test_shots_are_found():
     assert media_avi.shots([]) == [] and media_avi.shots([dark] * 4) == [0]
 
 
+def test_long_texts_keep_the_frame_size():
+    """Over 7 MB, and a shot change that frames of a growing size would average away."""
+    p = np.random.default_rng(1).integers(0, 256, 192 * 40_000, dtype=np.uint8).tobytes()
+    assert len(p) > 7_000_000
+    avi = media_avi.write_avi(p)
+    _, frames = media_avi.read_avi(avi)
+    assert len(frames) == 40_000 and media_avi.decode_dc(frames[-1]).shape == (12, 16)
+    payload, clips = media_avi.read_media(avi)
+    assert payload == p and sum(c["n_frames"] for c in clips) == 40_000
+
+
+def test_shots_do_not_depend_on_what_follows():
+    short, long = b"\x14" * 192 * 5 + b"\xc8" * 192 * 4, b"\x14" * 192 * 3000
+    assert [c["first_frame"] for c in media_avi.read_media(media_avi.write_avi(short))[1]] == [0, 5]
+    assert [c["first_frame"] for c in media_avi.read_media(media_avi.write_avi(short + long))[1]] == [0, 5, 9]
+
+
 def test_chat(frame, spark):
     rows = [(1, 0, "system", "be kind", "x"), (1, 1, "ann", "hi", "x"), (1, 2, "bob", "yo 漢", "x"), (1, 3, "ann", None, "x"), (2, 0, "system", "alone", "x"), (3, 40, "ann", "late", "x"), (3, 1, "bob", "early", "x"), (3, 1, "bob", "early", "x"), (None, 1, "ann", "lost", "x"), (4, None, "ann", "lost", "x")]
     out = chat_format.render(frame(rows, "conv_id long, turn int, role string, text string, perspective string")).collect()

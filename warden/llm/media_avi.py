@@ -10,6 +10,11 @@ and unpack whole frames of it at once. Other baseline frames (any Huffman
 tables, AC terms, several components, restart intervals) are decoded too, a
 symbol at a time.
 
+Every frame has the same size, 192 bytes of the payload, so the number of frames
+grows with the text, and where a shot begins does not depend on the text's length.
+Frames are packed and unpacked ``AT_ONCE`` at a time. A media value is about
+twice its text and has to stay under the 2 GB that a Spark value can have.
+
 ``read_avi`` walks RIFF and takes the frames from ``idx1`` (from ``movi`` where
 there is no index). Shots begin where the histogram difference of successive
 frames exceeds an adaptive bound (mean and deviation of the differences before
@@ -35,8 +40,8 @@ from pyspark.sql import DataFrame
 from .common import batch, map_batches, pick
 
 UNIT = 192  # payloads are multiples of it: a frame of 16 x 12 blocks
-COLS = 16
-MAX_FRAMES = 48
+COLS, ROWS = 16, 12
+AT_ONCE = 4096  # frames packed or unpacked together
 FPS = 24
 BINS = 16
 FLOOR, SPREAD = 0.25, 3.0
@@ -111,11 +116,10 @@ def _list(kind: bytes, *chunks: bytes) -> bytes:
 
 def write_avi(payload: bytes) -> bytes:
     """An AVI whose frames carry the payload; its length stands in an INFO comment."""
-    rows = 12 * max(1, -(-len(payload) // (UNIT * MAX_FRAMES)))
-    size = rows * COLS
-    samples = np.frombuffer(payload + b" " * ((-len(payload)) % size), np.uint8).reshape(-1, size)
-    width, height, head = COLS * 8, rows * 8, _jpeg_head(COLS * 8, rows * 8)
-    frames = [_chunk(b"00dc", head + r.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9") for r in _pack(samples)]
+    samples = np.frombuffer(payload + b" " * ((-len(payload)) % UNIT), np.uint8).reshape(-1, UNIT)
+    width, height, head = COLS * 8, ROWS * 8, _jpeg_head(COLS * 8, ROWS * 8)
+    packed = (r for k in range(0, len(samples), AT_ONCE) for r in _pack(samples[k : k + AT_ONCE]))
+    frames = [_chunk(b"00dc", head + r.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9") for r in packed]
     offsets, at = [], 4
     for f in frames:
         offsets.append(at)
@@ -262,10 +266,14 @@ def decode_all(frames: list[bytes]) -> list[np.ndarray] | np.ndarray:
         bodies = [data.replace(b"\xff\0", b"\xff") for _, data in split]
         size = rows * cols // 4 * 5
         if rows * cols % 4 == 0 and int(facts["quant"][facts["parts"][0][3]][0]) == 8 and all(len(b) == size for b in bodies):
-            b = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 5).astype(np.uint64)
-            bits = b[:, 0] << 32 | b[:, 1] << 24 | b[:, 2] << 16 | b[:, 3] << 8 | b[:, 4]
-            c = np.stack([bits >> s & 1023 for s in (30, 20, 10, 0)], axis=-1).reshape(len(frames), -1)
-            return (np.cumsum(_values()[c], axis=1, dtype=np.int32) + 128).astype(np.uint8).reshape(len(frames), rows, cols)
+            out = np.empty((len(frames), rows, cols), np.uint8)
+            for k in range(0, len(frames), AT_ONCE):
+                part = bodies[k : k + AT_ONCE]
+                b = np.frombuffer(b"".join(part), np.uint8).reshape(-1, 5).astype(np.uint64)
+                bits = b[:, 0] << 32 | b[:, 1] << 24 | b[:, 2] << 16 | b[:, 3] << 8 | b[:, 4]
+                c = np.stack([bits >> s & 1023 for s in (30, 20, 10, 0)], axis=-1).reshape(len(part), -1)
+                out[k : k + AT_ONCE] = (np.cumsum(_values()[c], axis=1, dtype=np.int32) + 128).astype(np.uint8).reshape(-1, rows, cols)
+            return out
     return [decode_dc(f) for f in frames]
 
 
@@ -369,8 +377,12 @@ def decode(jpeg: bytes) -> np.ndarray:
 def histograms(frames: list[np.ndarray] | np.ndarray) -> np.ndarray:
     """Shares of ``BINS`` equal bins, a row for each frame."""
     if isinstance(frames, np.ndarray):
-        cells = (frames.reshape(len(frames), -1) >> 4) + (np.arange(len(frames)) * BINS)[:, None]
-        return np.bincount(cells.reshape(-1), minlength=len(frames) * BINS).reshape(len(frames), BINS) / frames[0].size
+        out = np.empty((len(frames), BINS))
+        for k in range(0, len(frames), AT_ONCE):
+            part = frames[k : k + AT_ONCE]
+            cells = (part.reshape(len(part), -1) >> 4) + (np.arange(len(part)) * BINS)[:, None]
+            out[k : k + AT_ONCE] = np.bincount(cells.reshape(-1), minlength=len(part) * BINS).reshape(len(part), BINS) / frames[0].size
+        return out
     return np.array([np.bincount(f.reshape(-1) >> 4, minlength=BINS) / f.size for f in frames])
 
 
