@@ -174,3 +174,28 @@ def test_retention_schedule():
     assert audit.next_retention(None, t, 300, False) == t + dt.timedelta(seconds=5)
     assert audit.next_retention(t, t, 300, True) == t and audit.next_retention(t, t, 1, False) == t + dt.timedelta(seconds=5)
     assert str(F.lit(1)) and audit.maintenance_allowed is not None
+
+
+def test_texts_beyond_the_common_subset(spark):
+    """The columns agree with the full lexer on every text, and texts without a single reading are refused."""
+    import random
+
+    from tests.test_lexer import DISTINCT, EQUAL, EXACT
+    from warden.functions.lexer import canonical
+
+    texts = [t for t, _ in EXACT] + [t for pair in DISTINCT for t in pair] + [t for group in EQUAL for t in group]
+    rng = random.Random(3)
+    bits = ["'", '"', "''", '""', "$", "$1", "$$", "$t$", "/*", "*/", "--", "\n", " ", "E'", "n'", "a", "or", "1", "1.5", ".", "0x1", "<=", "!=", "=", "-", "|", ";", ":", "::", "\\", "é", "{", "U&'", "do", "\t", "(", "\r", "00000000001", "2147483648", "/* c */"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(6000)]
+    base = one(spark).drop("stmt_id", "query_text")
+    log = base.crossJoin(spark.createDataFrame(list(enumerate(texts)), "stmt_id int, query_text string"))
+    got = {r["query_text"]: (r["canonical"], r["canonical_sqlstate"]) for r in decide.fingerprinted(log, decide.Policy(approvals(spark, True))).collect()}
+    assert {t: v for t, v in got.items() if v != canonical(t)} == {}
+    p, s = decide.Policy(approvals(spark, True)), Settings(mode="permissive", blacklisted_keywords="pg_sleep")
+    cases = [
+        ("SELECT v FROM t WHERE id = 7 /* /* */ or 1=1 */", None, "ALLOWED"), ("SELECT $$ or 1=1 $$, $t$pg_sleep$t$", None, "ALLOWED"), (r"SELECT E'it\'s or 1=1'", None, "ALLOWED"),
+        (r"SELECT 'a\' , (SELECT 1) --'", "0A000", "BLOCKED"), ("SELECT 'abc", "XX000", "BLOCKED"), ("SELECT 'abc pg_sleep", "42000", "BLOCKED"), ("SELECT 1 or 1=1 or 'a", "42501", "BLOCKED"), ("SELECT $$x$$ OR .5 = .5", "42501", "BLOCKED"),
+    ]
+    for text, state, action in cases:
+        r = decide.decide(one(spark, text), s, p).first()
+        assert (r["sqlstate"], r["action"]) == (state, action), text

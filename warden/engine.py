@@ -45,9 +45,11 @@ class Engine:
     def learn(self, statements: DataFrame) -> None:
         """Commands and fingerprints of committed statements into the policy (learn mode); approvals that are there stay."""
         rows = learn.committed(decide.fingerprinted(statements, self.policy()))
+        if self.settings.enable_fingerprint_learning:
+            rows = rows.where("canonical_sqlstate is null")  # these were refused
         events = rows.withColumns({"position": F.col("stmt_id"), "hits": F.lit(1).cast("long"), "learn_threshold": F.lit(self.settings.fingerprint_learn_threshold)})
         self.store.write("command_approvals", learn.learned_approvals(self.store.read("command_approvals"), events))
-        self.store.write("query_fingerprints", learn.upsert_hits(self.store.read("query_fingerprints"), events.select(*learn.KEY, "hits", "learn_threshold")))
+        self.store.write("query_fingerprints", learn.upsert_hits(self.store.read("query_fingerprints"), events.where("fingerprint is not null").select(*learn.KEY, "hits", "learn_threshold")))
 
     def queue_statistics(self, events: DataFrame) -> DataFrame:
         return audit.queue_statistics(events, self.settings.activity_queue_size)

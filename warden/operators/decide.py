@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import native_lex
+from ..functions import lexed, native_lex
 from ..functions.text import utf8_cut, utf8_prefix
 from ..settings import Settings
 from . import gates, rate
@@ -36,9 +36,10 @@ def decision_class(action: Column) -> Column:
 
 
 def fingerprinted(statements: DataFrame, policy: Policy) -> DataFrame:
-    """Statements with their canonical text and fingerprint."""
-    tokens = F.col("_tokens") if "_tokens" in statements.columns else None
-    text = statements.withColumn("canonical", native_lex.canonical(F.col("query_text"), tokens))
+    """Statements with their canonical text and fingerprint; both are null, and canonical_sqlstate is set, where the text has no single reading."""
+    if "_tokens" not in statements.columns:
+        statements = lexed.with_tokens(statements)
+    text = statements.withColumn("canonical", lexed.canonical()).drop("_tokens", "_odd", "_canonical")
     return text.withColumn("fingerprint", native_lex.fingerprint(F.col("canonical"), F.lit(policy.system_identifier), F.col("db_oid"), F.lit(policy.extension_oid)))
 
 
@@ -46,7 +47,7 @@ def gate_reasons(statements: DataFrame, s: Settings, policy: Policy, server_zone
     """Statements with gate_reason and sqlstate of the first gate that refuses; the order is part of the semantics."""
     c = F.col
     if "_tokens" not in statements.columns:
-        statements = statements.withColumn("_tokens", native_lex.tokens(c("query_text")))
+        statements = lexed.with_tokens(statements)
     session = F.coalesce(gates.ip_reason(s, c("client_addr")), gates.app_reason(s, c("application_name")), gates.binding_reason(s, c("role_name"), c("client_addr")))
     steps = [
         (session, "42501"), (gates.quiet_reason(s, c("decided_at"), server_zone), "42501"), (gates.keyword_reason(s, c("query_text"), c("_tokens")), "42000"), (gates.tautology_reason(s, c("query_text"), c("_tokens")), "42501"),
@@ -69,7 +70,7 @@ def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str
         open_ = rate.rate_reasons(rows.where("gate_reason is null and role_name is not null"), s)
         rows = open_.unionByName(rows.where("gate_reason is not null or role_name is null").withColumn("rate_reason", F.lit(None).cast("string")))
         rows = rows.withColumns({"gate_sqlstate": F.coalesce("gate_sqlstate", F.when(c("rate_reason").isNotNull(), "53400")), "gate_reason": F.coalesce("gate_reason", "rate_reason")}).drop("rate_reason")
-    rows = fingerprinted(rows, policy).drop("_tokens")
+    rows = fingerprinted(rows, policy)
     approvals = policy.approvals.select(c("role_name").alias("_ar"), c("command_type").alias("_ac"), c("is_approved").alias("_approved"))
     rows = rows.join(approvals, (c("role_name") == c("_ar")) & (c("command_type") == c("_ac")), "left")
     if policy.fingerprints is not None:
@@ -91,6 +92,12 @@ def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str
     action = F.when(gated, "BLOCKED").when(other, "ALLOWED (OTHER)").when(nobody, "ALLOWED").otherwise(F.coalesce(pick(0), F.lit("ALLOWED")))
     reason = F.when(gated, c("gate_reason")).when(other, "Uncommon utility command - automatically allowed in non-enforce mode").when(nobody, "Role unknown").otherwise(F.coalesce(pick(1), F.lit("Approved command type")))
     rows = rows.withColumns({"action": action, "reason": reason})
+    # an allowed command whose text has no single reading has no fingerprint to look up and is refused in every mode
+    refused = F.lit(s.enable_fingerprint_learning) & ~gated & ~other & ~nobody & (c("action") != "BLOCKED") & c("canonical_sqlstate").isNotNull()
+    rows = rows.withColumn("_stop", refused).withColumns({
+        "reason": F.when(c("_stop"), lexed.refusal()).otherwise(c("reason")), "action": F.when(c("_stop"), "BLOCKED").otherwise(c("action")),
+        "gate_sqlstate": F.when(c("_stop"), c("canonical_sqlstate")).otherwise(c("gate_sqlstate")),
+    }).drop("_stop")
     # the fingerprint stage: of allowed commands, unless nothing is known to look up
     staged = F.lit(s.enable_fingerprint_learning) & ~gated & ~other & ~nobody & (c("action") != "BLOCKED") & ~F.coalesce(c("_fp"), F.lit(False))
     if s.mode == "enforce":
@@ -107,7 +114,7 @@ def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str
         rows = rows.join(firsts, c("stmt_id") == c("_first"), "left").drop("_first", "_new")
     decision = F.when(c("action") == "BLOCKED", "blocked").otherwise(decision_class(c("action")))
     rows = rows.withColumns({"decision": decision, "sqlstate": F.when(c("action") == "BLOCKED", F.coalesce("gate_sqlstate", F.lit("42501")))})
-    return rows.drop("_ar", "_ac", "_approved", "_ff", "_fr", "_fc", "_fp", "gate_reason", "gate_sqlstate")
+    return rows.drop("_ar", "_ac", "_approved", "_ff", "_fr", "_fc", "_fp", "gate_reason", "gate_sqlstate", "canonical_sqlstate")
 
 
 def activity_rows(decided: DataFrame) -> DataFrame:

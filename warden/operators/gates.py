@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import native_lex
+from ..functions import lexed
 from ..functions.text import ipv4, lower_ascii
 from ..settings import Settings, items, minute_of_day, normal_ip, role_ip
 
@@ -62,14 +62,14 @@ def quiet_reason(s: Settings, at: Column, server_zone: str = "UTC") -> Column:
     return F.when(inside, F.lit(f"Blocked during quiet hours ({s.quiet_hours_start} - {s.quiet_hours_end})."))
 
 
-def keyword_reason(s: Settings, text: Column, tokens: Column | None = None) -> Column:
+def keyword_reason(s: Settings, text: Column, tokens: Column) -> Column:
     if not (s.enable_keyword_scan and s.keywords):
         return _none()
-    return F.concat(F.lit("Blocked due to blacklisted keyword '"), native_lex.keyword_hit(text, s.keywords, tokens), F.lit("'."))
+    return F.concat(F.lit("Blocked due to blacklisted keyword '"), lexed.keyword_hit(text, s.keywords, tokens), F.lit("'."))
 
 
-def tautology_reason(s: Settings, text: Column, tokens: Column | None = None) -> Column:
-    return F.when(native_lex.tautology(text, tokens), F.lit(TAUTOLOGY_REASON)) if s.enable_builtin_injection_check else _none()
+def tautology_reason(s: Settings, text: Column, tokens: Column) -> Column:
+    return F.when(lexed.tautology(text, tokens), F.lit(TAUTOLOGY_REASON)) if s.enable_builtin_injection_check else _none()
 
 
 def java_pattern(pattern: str) -> str:

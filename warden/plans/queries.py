@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import families, native_lex
+from ..functions import families, lexed, native_lex
 from ..functions.lexer import KEYWORDS
 from ..functions.text import byte_range, ipv4, split_list, statement_text, utf8_cut, utf8_prefix
 from ..operators import audit, decide, gates, learn, rate, shaping
@@ -153,7 +153,7 @@ def statement_texts(spark, sf_dir):
 
 @query(f"{LEXED} SELECT stmt_id, canonical FROM canon")
 def canonical_text(spark, sf_dir):
-    return log(spark, sf_dir).select("stmt_id", native_lex.canonical(F.col("query_text")).alias("canonical"))
+    return decide.fingerprinted(log(spark, sf_dir), policy(spark)).select("stmt_id", "canonical")
 
 
 @query(f"{PRINTED} SELECT stmt_id, fingerprint FROM prints")
@@ -219,12 +219,12 @@ def quiet_hours_midnight(spark, sf_dir):
 
 @query(f"{LEXED} SELECT stmt_id, {KEYWORD_SQL} AS keyword FROM canon WHERE keyword IS NOT NULL")
 def keyword_hits(spark, sf_dir):
-    return log(spark, sf_dir).select("stmt_id", native_lex.keyword_hit(F.col("query_text"), Settings(blacklisted_keywords=WORDS).keywords).alias("keyword")).where("keyword is not null")
+    return lexed.with_tokens(log(spark, sf_dir)).select("stmt_id", lexed.keyword_hit(F.col("query_text"), Settings(blacklisted_keywords=WORDS).keywords, F.col("_tokens")).alias("keyword")).where("keyword is not null")
 
 
 @query(f"{LEXED} SELECT stmt_id FROM canon WHERE {TAUT_SQL}")
 def tautology_hits(spark, sf_dir):
-    return log(spark, sf_dir).where(native_lex.tautology(F.col("query_text"))).select("stmt_id")
+    return lexed.with_tokens(log(spark, sf_dir)).where(lexed.tautology(F.col("query_text"), F.col("_tokens"))).select("stmt_id")
 
 
 def _rules(spark):
@@ -380,7 +380,7 @@ def quiet_hours_lines(spark, sf_dir):
 
 
 def observations(spark, sf_dir):
-    rows = decide.fingerprinted(log(spark, sf_dir), policy(spark))
+    rows = decide.fingerprinted(log(spark, sf_dir), policy(spark)).where("canonical_sqlstate is null")
     return rows.select(F.col("stmt_id").alias("position"), "txn_id", "committed", "fingerprint", "role_name", "role_oid", "command_type", F.lit(1).cast("long").alias("hits"), F.lit(5).alias("learn_threshold"), (F.col("stmt_id") % 4).cast("long").alias("policy_epoch"))
 
 
