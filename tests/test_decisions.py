@@ -199,3 +199,9 @@ def test_texts_beyond_the_common_subset(spark):
     for text, state, action in cases:
         r = decide.decide(one(spark, text), s, p).first()
         assert (r["sqlstate"], r["action"]) == (state, action), text
+
+
+def test_every_statement_is_in_a_batch(spark):
+    rows = spark.range(1000).selectExpr("id * 700 as stmt_id", "if(id % 4 = 0, null, 'app_1') as role_name")
+    got = {(r["role_name"], r["batch_no"]): r["count"] for r in audit.batched(rows, "role_name", "stmt_id").groupBy("role_name", "batch_no").count().collect()}
+    assert got == {(None, 0): 250, ("app_1", 0): 256, ("app_1", 1): 256, ("app_1", 2): 238}

@@ -113,6 +113,19 @@ def zipped(record: DataFrame, id_col: str, arrays: list[str]) -> DataFrame:
     return record.select(id_col, F.posexplode(F.arrays_zip(*arrays)).alias("row_no", "_z")).select(id_col, F.col("row_no").cast("long").alias("row_no"), *[F.col(f"_z.{a}").alias(a) for a in arrays])
 
 
+def batched(rows: DataFrame, key: str, id_col: str, size: int = 256, reach: int = 65536) -> DataFrame:
+    """Rows with batch_no: each key's rows in order of a whole-number id, ``size`` to a batch.
+
+    Ranges of ``reach`` ids are numbered by themselves and their counts added up, so no task sorts a whole key.
+    """
+    dealt = rows.withColumn("_range", F.floor(F.col(id_col) / reach))
+    counts = dealt.groupBy(F.col(key).alias("_k"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_k").orderBy("_r")) - F.col("_n")).drop("_n")
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_range").orderBy(id_col)))
+    found = inside.join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return found.withColumn("batch_no", F.floor((F.col("_before") + F.col("_in") - 1) / size)).drop("_range", "_k", "_r", "_before", "_in")
+
+
 def policy_digest(policy: DataFrame) -> DataFrame:
     """One row: an order-free digest of a policy table's rows, equal before and after a move."""
     row = F.sha2(F.to_json(F.struct(*sorted(policy.columns)), {"ignoreNullFields": "false"}), 256)

@@ -577,6 +577,24 @@ def zip_arrays(spark, sf_dir):
     return audit.zipped(rows.select("role_name", F.col("m.stmt_id").alias("ids"), F.col("m.command_type").alias("commands")), "role_name", ["ids", "commands"])
 
 
+# zip_arrays and keyset_page over whole tables; the two keep the id ranges of their SQL
+
+
+@query(f"{BASE} SELECT role_name, CAST((n - 1) // 256 AS BIGINT) AS batch_no, CAST((n - 1) % 256 AS BIGINT) AS row_no, stmt_id AS ids, command_type AS commands FROM (SELECT *, row_number() OVER (PARTITION BY role_name ORDER BY stmt_id) AS n FROM stmts)")
+def zip_arrays_whole(spark, sf_dir):
+    rows = audit.batched(log(spark, sf_dir).select("role_name", "stmt_id", "command_type"), "role_name", "stmt_id")
+    rows = rows.groupBy("role_name", "batch_no").agg(F.array_sort(F.collect_list(F.struct("stmt_id", "command_type"))).alias("m"))
+    out = audit.zipped(rows.select(F.struct("role_name", "batch_no").alias("key"), F.col("m.stmt_id").alias("ids"), F.col("m.command_type").alias("commands")), "key", ["ids", "commands"])
+    return out.select("key.role_name", "key.batch_no", "row_no", "ids", "commands")
+
+
+@query("SELECT c_custkey AS db_oid, c_custkey <= 20 AS wrapped FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 ORDER BY wrapped, db_oid LIMIT 32")
+def keyset_page_whole(spark, sf_dir):
+    k = F.col("c_custkey")
+    dbs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("db_oid"), (k % 7 != 0).alias("connectable"), (k % 11 == 0).alias("is_template"), F.lit("UTF8").alias("encoding"))
+    return audit.keyset_page(dbs, 20)
+
+
 @query(f"{BASE} SELECT stmt_id, row_number() OVER (ORDER BY decided_at, stmt_id) AS log_id FROM stmts")
 def queue_order(spark, sf_dir):
     return audit.numbered(log(spark, sf_dir).select("stmt_id", "decided_at"), ["decided_at", "stmt_id"]).select("stmt_id", "log_id")
