@@ -65,6 +65,15 @@ def test_decontaminate(spark, frame, shard, block):
     assert decontaminate.decontaminate(frame(docs, "doc_id long, text string"), bench.limit(0)).where("_n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 10])
+def test_items_without_an_id_hit(frame, block):
+    bench = frame([(None, "p q r s"), (1, "k l m"), (None, "u v")], "item_id long, text string")
+    docs = frame([(1, "x p q r s y"), (2, "k l m u v"), (3, "p q")], "doc_id long, text string")
+    out = decontaminate.decontaminate(docs, bench, block_bytes=block).collect()
+    assert {(x["doc_id"], x["_n_hit"], tuple(x["_items"])) for x in out} == {(1, 4, ()), (2, 5, ("1",)), (3, 0, ())}
+    assert [x["doc_id"] for x in decontaminate.clean(docs, bench, block_bytes=block).collect()] == [3]
+
+
 def brute_sets(texts):
     lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
     out = {}

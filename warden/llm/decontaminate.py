@@ -16,7 +16,7 @@ documents, each adding to what the one before it found.
 Defined cases: null and empty texts have no words; an empty benchmark hits
 nothing; items shorter than the window are one window each, items without words
 none; repeated items count by their ids; repeated documents each get their row;
-null item ids are left out of the list of items.
+items with a null id hit like others, and only the id is left out of the list of items.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ BLOCK_BYTES = 8 << 20
 class Queries:
     """The benchmark's words, numbered, with one row for each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocab: dict[bytes, int] = {}
-        self.ids: list[str] = []
+        self.ids: list[str | None] = []
         words: list[int] = []
         starts, sizes, owner = [], [], []
         for item_id, text in items:
@@ -162,17 +162,17 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 STATE = (("_n_words", "long"), ("_hits", "array<long>"), ("_items", "array<string>"), ("_longest_match", "long"), ("_longest_start", "long"))
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in hashed blocks of about ``limit`` bytes; the driver holds one at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield sorted((r[0], r[1] or "") for r in rows)
+        rows = items.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n)) == k).collect()
+        yield sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
-def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, shard_words: int, text_col: str, keep: list[str]) -> DataFrame:
+def _pass(docs: DataFrame, block: list[tuple[str | None, str]], window: int, shard_words: int, text_col: str, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(block)  # one block: bounded by block_bytes
     later = "_hits" in docs.columns
     own = [c for c in keep if c not in dict(STATE)]
@@ -183,7 +183,7 @@ def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, shard_word
         q = Queries(sent.value, window)
 
         def done(held: list[pa.RecordBatch], words: list[list[bytes]]) -> pa.RecordBatch:
-            rows = [(n, spans, sorted(q.ids[i] for i in items), m, p) for n, spans, items, m, p in _shard(words, q)]
+            rows = [(n, spans, sorted(x for i in items if (x := q.ids[i]) is not None), m, p) for n, spans, items, m, p in _shard(words, q)]
             if later:
                 old = zip(*(pa.concat_arrays([b.column(i) for b in held]).to_pylist() for i in state_at[1:]), strict=True)
                 rows = [
