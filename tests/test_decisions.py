@@ -180,10 +180,10 @@ def test_texts_beyond_the_common_subset(spark):
     """The columns agree with the full lexer on every text, and texts without a single reading are refused."""
     import random
 
-    from tests.test_lexer import DISTINCT, EQUAL, EXACT
+    from tests.test_lexer import ALIKE, APART, REFUSED, RULES
     from warden.functions.lexer import canonical
 
-    texts = [t for t, _ in EXACT] + [t for pair in DISTINCT for t in pair] + [t for group in EQUAL for t in group]
+    texts = [t for _, t, _ in RULES] + [t for t, _ in REFUSED] + [t for group in (*APART, *ALIKE) for t in group]
     rng = random.Random(3)
     bits = ["'", '"', "''", '""', "$", "$1", "$$", "$t$", "/*", "*/", "--", "\n", " ", "E'", "n'", "a", "or", "1", "1.5", ".", "0x1", "<=", "!=", "=", "-", "|", ";", ":", "::", "\\", "é", "{", "U&'", "do", "\t", "(", "\r", "00000000001", "2147483648", "/* c */"]
     texts += ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(6000)]
