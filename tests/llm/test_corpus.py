@@ -42,7 +42,7 @@ def brute_hits(words, items, window):
                 if words[i : i + len(g)] == g:
                     hit.update(range(i, i + len(g)))
                     found.add(item)
-    return len(hit), sorted(found)
+    return len(hit), sorted(found, key=str)
 
 
 @pytest.mark.parametrize("shard,block", [(1 << 20, 8 << 20), (50, 60)])
@@ -63,6 +63,44 @@ def test_decontaminate(spark, frame, shard, block):
     kept = decontaminate.clean(frame(docs, "doc_id long, text string"), bench)
     assert kept.count() == sum(x["_n_hit"] == 0 for x in out) and kept.columns == ["doc_id", "text"]
     assert decontaminate.decontaminate(frame(docs, "doc_id long, text string"), bench.limit(0)).where("_n_hit > 0").count() == 0
+    assert decontaminate.decontaminate(frame(docs, "doc_id long, text string").limit(0), bench, block_bytes=block).count() == 0
+
+
+def brute_longest(words, items, window):
+    best = (0, None)
+    for i in range(len(words)):
+        for _, w in items:
+            for k in range(max(1, len(w) - window + 1)) if w else ():
+                n = min(window, len(w))
+                if words[i : i + n] == w[k : k + n]:
+                    while i + n < len(words) and k + n < len(w) and words[i + n] == w[k + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, i)
+    return best
+
+
+@pytest.mark.parametrize("shard,block", [(1 << 20, 8 << 20), (60, 8 << 20), (1 << 20, 40), (60, 40)])
+def test_blocks_and_shards_change_nothing(frame, shard, block):
+    """Repeated ids and items, equal windows of several items, clashing names: one answer for every block and shard size."""
+    r = random.Random(8)
+    base = [r.choice("abcde") for _ in range(60)]
+    item_rows = [("a", "x y z"), ("a", "x y z"), ("b", "q"), ("c", " ".join(base[:30])), ("d", " ".join(base[5:40])), ("c", "q"), ("a", " ".join(base[20:50])), (None, "n m"), ("e", "q q"), ("f", None), ("g", "")]
+    docs = [(1, "x y z", 7), (2, "q", 7), (3, " ".join(["w", *base, "w"]), 7), (4, " ".join(base[:12] + ["w"] + base[3:33]), 7), (5, "q q q q " * 30, 7), (6, None, 7), (7, "n m", 7), (None, "x y z", 7), (8, " ".join(base[8:17]), 7)]
+    items = [(i, alnum_words(t)) for i, t in item_rows]
+    frames = frame(docs, "doc_id long, text string, _hits long"), frame(item_rows, "item_id string, text string")
+    out = decontaminate.decontaminate(*frames, shard_words=shard, block_bytes=block)
+    assert out.columns == ["doc_id", *dict(decontaminate.STATE)]
+    texts = {i: t for i, t, _ in docs}
+    rows = out.collect()
+    assert len(rows) == len(docs)
+    for x in rows:
+        words = alnum_words(texts[x["doc_id"]])
+        n, found = brute_hits(words, items, 10)
+        assert (x["_n_words"], x["_n_hit"], x["_items"]) == (len(words), n, sorted({i for i in found if i is not None}))
+        assert (x["_longest_match"], x["_longest_start"]) == brute_longest(words, items, 10)
+    kept = decontaminate.clean(*frames, shard_words=shard, block_bytes=block)
+    assert kept.columns == ["doc_id", "text", "_hits"] and sorted(k["doc_id"] for k in kept.collect()) == [6, 8]
 
 
 @pytest.mark.parametrize("block", [8 << 20, 10])
