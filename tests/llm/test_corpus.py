@@ -189,6 +189,46 @@ def test_ngram_join_awkward(awkward, nothing):
     assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("crowded", [2, 32])
+def test_ngram_join_by_node_not_by_id(frame, monkeypatch, crowded):
+    """A bridge without an id, and one id on rows with different texts."""
+    monkeypatch.setattr(ngram_join, "CROWDED", crowded)
+    words = [f"w{k}" for k in range(100)]
+    near = lambda *at: " ".join("x" + str(k) if k in at else w for k, w in enumerate(words))
+    left, bridge, right = near(10, 20), near(10), near()
+    assert brute_components(brute_sets({1: left, 2: right})) == {1: 1, 2: 2}
+    other = " ".join(f"z{k}" for k in range(80))
+    docs = [(1, left), (None, bridge), (2, right), (3, other), (3, left), (4, other + " end"), (None, "only here and nowhere"), (None, "only here and nowhere"), (5, None), (5, None), (6, ""), (7, "7 8 9 10"), (7, "7 8 9 10"), (8, "7 8 9 10")]
+    rows = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(frame(docs, "doc_id long, text string")).collect()), key=str)
+    want = [(1, 97, 1), (2, 97, 1), (3, 77, 3), (3, 97, 1), (4, 78, 3), (5, 0, 5), (5, 0, 5), (6, 0, 6), (7, 1, 7), (7, 1, 7), (8, 1, 7), (None, 97, 1), (None, 1, None), (None, 1, None)]
+    assert rows == sorted(want, key=str)
+    named = frame([(i, t, 0, "d") for i, t in docs], "doc_id long, text string, _kept int, i string")
+    kept = ngram_join.one_each(named)
+    assert kept.columns == named.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, left), (3, other), (None, "only here and nowhere"), (5, None), (6, ""), (7, "7 8 9 10")], key=str)
+
+
+def test_ngram_join_regions_of_several_components(frame, monkeypatch):
+    """Crowds that share one passage: hubs settle some, blocks of few sets and bytes find the other links."""
+    monkeypatch.setattr(ngram_join, "CROWDED", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
+    r = random.Random(12)
+    common = [f"c{k}" for k in range(50)]
+    docs = {}
+    for group in range(9):
+        own = [f"g{group}_{k}" for k in range(r.randrange(4, 14))]
+        for _ in range(r.randrange(1, 9)):
+            words = common + own
+            for _ in range(r.randrange(0, 3)):
+                words[r.randrange(len(words))] = f"r{r.random()}"
+            docs[len(docs)] = " ".join(words)
+    want = brute_components(brute_sets(docs))
+    got = ngram_join.ngram_join(frame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want and 1 < len(set(want.values())) < len(docs)
+
+
 def test_pipeline_against_brute_force(spark):
     docs, labels, bench = (table(spark, SF, t) for t in ("documents", "labels", "benchmark"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -11,23 +11,34 @@ shingles of each, the prefixes, share one.
 2. Shingles with up to ``CROWDED`` nodes give pairs of these, counted by pair: a
    link needs more than one shared prefix shingle, about half a prefix, and
    pairs with fewer go. The others are verified.
-3. Shingles with more nodes tie them into regions. A region's nodes are dealt
-   over blocks by size class and hash, and every block is joined with the
-   blocks whose sizes can link: sets go in, links come out, no pair is a row.
+3. Shingles with more nodes (a passage that whole crowds consist of) are
+   searched from hubs first: the least and the greatest node of each are
+   verified against all its nodes, which is linear in these and joins a crowd of
+   copies into one component.
+4. What the hubs left apart is searched exactly: crowded shingles tie their
+   nodes into regions, regions whose nodes are one component by now are done,
+   and of the others the nodes outside the largest component are joined with
+   all the region's nodes of sizes that can link, in blocks by size class and
+   hash. Sets go in, links come out, no pair is a row.
 
 A join of two sides puts one side's ordered sets into a path-compressed trie.
 The traversal counts a shared path's overlap with all sets of the other side
 once, and leaves a subtree as soon as the overlap so far and the remaining
-lengths cannot reach the threshold any more. A hub's partners are dealt over
-salted groups of ``BLOCK`` sets, too.
+lengths cannot reach the threshold any more. A block holds at most ``BLOCK``
+sets and about ``BLOCK_BYTES`` (one set at least), and so does a salted group of
+a hub's partners.
 
 Links inside one component beyond those that built it are not looked at: the
 components are what all links would give, and that is the result.
 
 Defined cases: null and empty texts have no shingles and link with nothing (not
-even with each other); a text of fewer than four words is one shingle; repeated
-rows are nodes like any copies; rows with null ids take part, and their
-component is named by the least id that is there; extra columns are left out.
+even with each other); a text of fewer than four words is one shingle; an empty
+table gives no rows; very long texts are read whole, one set being as long as
+its text; repeated rows are nodes like any copies, and each gets its row; rows
+with null ids take part, and their component is named by the least id that is
+there (null if none is); an id on rows with different texts has a row for each;
+the least id names a component, so there are no ties; extra columns are left
+out, or carried by ``one_each`` whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +48,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batch, pick, stored
 
@@ -49,6 +61,7 @@ CHUNK = 1 << 13
 FILTER_BITS = 1 << 25  # of the filter of candidate documents
 CLASS = -1.001 * float(np.log(PERCENT / 100))  # in logarithms of sizes: sets that link are in one size class or in neighbours
 BLOCK = 256  # sets in one trie
+BLOCK_BYTES = 16 << 20  # of the sets in one trie
 CROWDED = 32  # nodes beyond which a shingle's nodes are joined in blocks instead of in pairs
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -211,22 +224,25 @@ def shared_prefixes(rows: DataFrame, several: DataFrame) -> DataFrame:
 
 
 def ordered_sets(docs: DataFrame, wanted: DataFrame, crowd, seed: int) -> DataFrame:
-    """(node, path) of the wanted documents (id, node): the set from its most crowded shingle on, big-endian."""
+    """(node, path) of the wanted nodes (node, id: of a row that has it): the set from its most crowded shingle on, big-endian."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_member_filter(wanted.select(F.xxhash64("id").alias("h"))))  # FILTER_BITS
-    hashed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
-    kind = docs.schema["id"].dataType.simpleString()
+    hashed = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
+    schema = pa.schema([("node", pa.int64()), ("path", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # an id can stand on several rows
         for b in _slices(batches):
-            h = b.column(2).to_numpy(zero_copy_only=False)
-            b = b.filter(_in_filter(bits.value, h))
-            sets = shingle_sets(b.column(1).to_pylist(), seed)
-            schema = pa.schema([b.schema.field(0), ("path", pa.binary())])
-            yield batch(schema, b.column(0), [ordered(s, crowd.value)[::-1].astype(">u8").tobytes() for s in sets])
+            b = b.filter(_in_filter(bits.value, b.column(1).to_numpy(zero_copy_only=False)))
+            rows = []
+            for s in shingle_sets(b.column(0).to_pylist(), seed):
+                if len(s) and (node := signatures(s)[0]) not in seen:
+                    seen.add(node)
+                    rows.append((node, ordered(s, crowd.value)[::-1].astype(">u8").tobytes()))
+            yield batch(schema, [r[0] for r in rows], [r[1] for r in rows])
 
-    found = hashed.mapInArrow(run, f"id {kind}, path binary")
-    return found.join(wanted, "id").select("node", "path")
+    found = hashed.mapInArrow(run, "node long, path binary").join(wanted.select("node").distinct(), "node", "left_semi")
+    return found.groupBy("node").agg(F.first("path").alias("path"))  # by the join's own partitioning
 
 
 # --- the trie
@@ -310,9 +326,14 @@ def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=_LINKS)
 
 
+def _parts(count: Column, shingles: Column) -> Column:
+    """Blocks that so many sets with so many shingles are dealt over."""
+    return F.ceil(F.greatest(count / BLOCK, shingles * 8 / BLOCK_BYTES)).cast("int")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the candidate pairs (hub, node): links, as many as the components need."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("parts"))
+    """Of the candidate pairs (hub, node, n: the node's size): links, as many as the components need."""
+    parts = pairs.groupBy("hub").agg(_parts(F.count("node"), F.sum("n")).alias("parts"))
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     partners = dealt.join(sets, "node").select("hub", "part", F.col("node").alias("right_node"), F.col("node").alias("right_label"), F.col("path").alias("right_path"))
     hubs = parts.select(F.col("hub").alias("node"), "parts").join(sets, "node")
@@ -320,23 +341,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return hubs.groupBy("node", "own_part").cogroup(partners.groupBy("hub", "part")).applyInArrow(_joined, "hub long, node long")
 
 
+def unsettled(members: DataFrame) -> DataFrame:
+    """Of the members (region, class, node, n, label): those of regions with several labels, and whether theirs is the region's largest."""
+    labels = members.groupBy("region", "label").agg(F.count("node").alias("n_nodes"))
+    largest = labels.groupBy("region").agg(F.max(F.struct("n_nodes", "label")).alias("top"), F.count("label").alias("n_labels"))
+    open_ = largest.where("n_labels > 1").select("region", F.col("top.label").alias("top"))
+    return members.join(open_, "region").withColumn("large", F.col("label") == F.col("top")).drop("top")
+
+
 def region_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside regions (region, class, node, label): every block of a size class against its own and the next class' blocks."""
-    blocks = rows.groupBy("region", "class").agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("parts"))
-    after = blocks.select("region", (F.col("class") - 1).alias("class"), F.col("parts").alias("next_parts"))
-    before = blocks.select("region", (F.col("class") + 1).alias("class"), F.col("parts").alias("last_parts"))
-    dealt = rows.join(blocks, ["region", "class"]).join(after, ["region", "class"], "left").join(before, ["region", "class"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    """Links inside regions (region, class, node, n, label, large).
+
+    Blocks meet those of their own and the next size class, but not two of the
+    largest component. A class has its other nodes' blocks first (``others`` of
+    ``parts``), then the largest component's.
+    """
+    large = F.col("large")
+    some = lambda of, x: F.sum(F.when(of, x).otherwise(F.lit(0)))
+    blocks = rows.groupBy("region", "class").agg(
+        _parts(some(~large, F.lit(1)), some(~large, F.col("n"))).alias("others"), _parts(some(large, F.lit(1)), some(large, F.col("n"))).alias("rest")
+    ).select("region", "class", "others", (F.col("others") + F.col("rest")).alias("parts"))
+    beside = lambda step, name: blocks.select("region", (F.col("class") + step).alias("class"), F.col("parts").alias(f"{name}_parts"), F.col("others").alias(f"{name}_others"))
+    dealt = rows.join(blocks, ["region", "class"]).join(beside(-1, "next"), ["region", "class"], "left").join(beside(1, "last"), ["region", "class"], "left")
+    hashed = F.xxhash64("node")
+    own = F.when(large, F.col("others") + F.pmod(hashed, F.col("parts") - F.col("others"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    dealt = dealt.withColumn("part", own).join(sets, "node")
     upto = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    one, key = F.lit(0), lambda c, i, d, j: F.struct(c.cast("int").alias("c"), i.alias("i"), d.cast("int").alias("d"), j.alias("j"))
-    c, i = F.col("class"), F.col("part")
+    key = lambda c, i, d, j: F.struct(c.cast("int").alias("c"), i.alias("i"), d.cast("int").alias("d"), j.alias("j"))
+    c, i, zero = F.col("class"), F.col("part"), F.lit(0)
+    meets = lambda name: F.coalesce(F.when(large, F.col(f"{name}_others")).otherwise(F.col(f"{name}_parts")), zero) - 1
     lefts = F.concat(
-        F.transform(upto(i, F.col("parts") - 1), lambda j: key(c, i, c, j)),
-        F.transform(upto(one, F.coalesce("next_parts", one) - 1), lambda j: key(c, i, c + 1, j)),
+        F.when(~large, F.transform(upto(i, F.col("parts") - 1), lambda j: key(c, i, c, j))).otherwise(F.array()),
+        F.transform(upto(zero, meets("next")), lambda j: key(c, i, c + 1, j)),
     )
     rights = F.concat(
-        F.transform(upto(one, i), lambda j: key(c, j, c, i)),
-        F.transform(upto(one, F.coalesce("last_parts", one) - 1), lambda j: key(c - 1, j, c, i)),
+        F.transform(upto(zero, F.least(i, F.col("others") - 1)), lambda j: key(c, j, c, i)),
+        F.transform(upto(zero, meets("last")), lambda j: key(c - 1, j, c, i)),
     )
     left = dealt.select("region", F.explode(lefts).alias("pair"), "node", "label", "path")
     right = dealt.select(F.col("region").alias("right_region"), F.explode(rights).alias("right_pair"), F.col("node").alias("right_node"), F.col("label").alias("right_label"), F.col("path").alias("right_path"))
@@ -371,7 +411,7 @@ def components(edges: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
 
 
 def candidate_pairs(few: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(hub, node): pairs of nodes whose shared prefix shingles can be enough.
+    """(hub, node, n: the node's size): pairs of nodes whose shared prefix shingles can be enough.
 
     With w the lesser of the prefixes' last shingles, what the sets share up to
     w is in both prefixes, and past it at most the rest of one set. So a link
@@ -385,7 +425,7 @@ def candidate_pairs(few: DataFrame, crowded: DataFrame) -> DataFrame:
     met = met.join(more.select(F.col("node").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").join(more, "node", "left")
     rest = f"((({PERCENT} * greatest(n, hub_n) + 99) div 100) - 1)"
     wanted = f"(({PERCENT} * (n + hub_n) + {99 + PERCENT}) div {100 + PERCENT})"
-    return met.where(f"c + least(coalesce(k, 0), coalesce(hub_k, 0)) >= {wanted} - {rest}").select("hub", "node")
+    return met.where(f"c + least(coalesce(k, 0), coalesce(hub_k, 0)) >= {wanted} - {rest}").select("hub", "node", "n")
 
 
 def links(docs: DataFrame, found: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
@@ -394,38 +434,69 @@ def links(docs: DataFrame, found: DataFrame, ids: DataFrame, seed: int) -> DataF
     rows = stored(prefixes(docs, crowd, seed), "prefixes")
     several = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("shingle")
     shared = stored(shared_prefixes(rows, stored(several, "several")), "shared")
-    sizes = shared.groupBy("shingle").agg(F.count("node").alias("members"), F.min("node").alias("first"))
+    sizes = shared.groupBy("shingle").agg(F.count("node").alias("members"), F.min("node").alias("first"), F.max("node").alias("last"))
     few = shared.join(sizes.where(f"members <= {CROWDED}").select("shingle"), "shingle")
-    crowded = stored(shared.join(sizes.where(f"members > {CROWDED}").select("shingle", "first"), "shingle"), "crowded")
+    crowded = stored(shared.join(sizes.where(f"members > {CROWDED}").select("shingle", "first", "last"), "shingle"), "crowded")
     pairs = stored(candidate_pairs(few, crowded), "pairs")
     wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).unionByName(crowded.select("node")).distinct().join(ids, "node").select("id", "node")
     sets = stored(ordered_sets(docs, stored(wanted, "wanted"), crowd, seed), "sets")
     edges = stored(verified(pairs, sets), "links")
     if crowded.limit(1).count():
+        hubs = crowded.select(F.explode(F.array("first", "last")).alias("hub"), "node", "n").where("hub <> node").distinct()
+        edges = edges.unionByName(stored(verified(stored(hubs, "hubs"), sets), "links"))
         tied = components(crowded.select(F.col("first").alias("hub"), "node").distinct()).withColumnRenamed("label", "region")
-        members = crowded.select("node", F.floor(F.log("n") / CLASS).cast("int").alias("class")).distinct().join(tied, "node")
+        members = crowded.select("node", "n", F.floor(F.log("n") / CLASS).cast("int").alias("class")).distinct().join(tied, "node")
         members = members.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        edges = edges.unionByName(stored(region_links(stored(members, "members"), sets), "links"))
+        edges = edges.unionByName(stored(region_links(stored(unsettled(stored(members, "members")), "unsettled"), sets), "links"))
     return stored(components(edges), "labels")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """(id, n_shingles, component_id): the least id that links reach."""
-    docs = pick(docs, id_col, text_col).toDF("id", "text")
+def _named(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """(id, node, n) of each row; (node, label, component_id) of each node; the seed that told all sets apart."""
     found = stored(nodes(docs, seed), "nodes")
     of = found.where("chunk is null").select("id", "node", "check", "n")
     ids = of.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("a"), F.max("check").alias("b"))
     if ids.where("a <> b").limit(1).count():  # two sets of one signature: as good as never
-        return ngram_join(docs, "id", "text", seed + 1).withColumnRenamed("id", id_col)
+        return _named(docs, seed + 1)
     ids = stored(ids.select("node", "id"), "ids")
-    labels = links(docs, found, ids, seed)
-    named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = ids.join(links(docs, found, ids, seed), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "label").select("node", "component_id")
-    return of.join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return of.drop("check"), named.join(least, "label").select("node", "label", "component_id"), seed
 
 
-def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one document of each component: the one with the least id (all rows without an id)."""
-    found = ngram_join(docs, id_col, text_col).where(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(id, n_shingles, component_id): the least id that links reach."""
+    of, named, _ = _named(pick(docs, id_col, text_col).toDF("id", "text"), seed)
+    return of.join(named.drop("label"), "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """All columns of one row of each component: one with the least id; of components without ids any one.
+
+    Rows without shingles are components of their own, but repeated ones (of one
+    id, or without any) stay once. Only rows whose id is null or stands on
+    several rows have to be told apart by their texts.
+    """
+    of, named, seed = _named(pick(docs, id_col, text_col).toDF("id", "text"), seed)
+    of, named = stored(of, "rows"), stored(named, "named")
+    several = of.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null").select("id")
+    first = of.join(named, "node", "left").where("id = coalesce(component_id, id)").select(F.col("id").alias("k")).join(several.select(F.col("id").alias("k")), "k", "left_anti").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("i"))
+    once = whole.join(first, F.col("i") == F.col("k"), "left_semi").select("d")
+    again = whole.join(several.select(F.col("id").alias("k")), F.col("i").eqNullSafe(F.col("k")), "left_semi")
+    again = _with_node(again, text_col, seed).join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
+    again = again.where("i is null or i = coalesce(component_id, i)").where("component_id is null or i is not null")
+    kept = again.groupBy("label", F.when(F.col("label").isNull(), F.struct("i")).alias("bare")).agg(F.first("d").alias("d")).select("d")
+    return once.unionByName(kept).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
+def _with_node(rows: DataFrame, text_col: str, seed: int) -> DataFrame:
+    """Rows (d, i) with the node of d's text (null without shingles)."""
+    at = rows.schema["d"].dataType.names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(0).field(at).to_pylist(), seed)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signatures(s)[0] if len(s) else None for s in sets], pa.int64())], names=["d", "i", "node"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("node", LongType())]))
