@@ -83,15 +83,71 @@ def test_license_rules_against_all_regexes(spark):
         assert license_scan.scan(t)[5] == ",".join(want)
 
 
+def named(g, text):
+    return {p: n for p, n in zip(toxicity.PATTERNS, g.counts(text), strict=True) if n}
+
+
 def test_toxicity_grammar():
     g = toxicity.Grammar()
-    counts = lambda t: {p: n for p, n in zip(toxicity.PATTERNS, g.counts(t), strict=True) if n}
-    assert counts("You are an idiot.") == {"insult_target": 1}
-    assert counts("He said idiot. Not stupid.") == {"insult_reported": 1, "insult_negated": 1}
-    assert counts("She said: idiot") == {"insult": 1}
-    assert counts("trash; I will hurt you") == {"insult": 1, "threat_target": 1}
-    assert counts(None) == counts("") == counts("a plain text") == {}
-    assert g.score(g.counts("you moron")) > g.score(g.counts("not a moron")) > g.score(g.counts("a plain text"))
+    assert named(g, "You are an idiot.") == {"insult_target": 1}
+    assert named(g, "He said idiot. Not stupid.") == {"insult_reported": 1, "insult_negated": 1}
+    assert named(g, "an idiot, a moron and a clown") == {"insult_pair": 2}
+    assert named(g, "what an idiot. Fine words. Such trash! More scum") == {"insult_again": 2}
+    assert named(g, "I will hurt you") == {"threat_target": 1} and named(g, "kill that vermin") == {"threat_insult": 1}
+    for alone in (None, "", "a plain text", "idiot", "She said: idiot", "the trash is full. The garden is green", "kill"):
+        assert named(g, alone) in ({}, {"threat_target": 1}) and g.score(g.counts(alone)) < 0.2, alone
+    score = lambda x: g.score(g.counts(x))
+    assert score("you moron") > score("not a moron") == score("he said moron") > score("a moron") == score("a plain text")
+
+
+def brute_patterns(clauses, lexicon):
+    """Every mark looked at by itself, with the words around it; no state."""
+    out, bare_before = [], False
+    for words in clauses:
+        marks = {i: lexicon[w] for i, w in enumerate(words) if w in lexicon}
+        within = lambda i, kinds, lo, hi: [j for j in range(i + lo, i + hi + 1) if marks.get(j) and marks[j] in kinds]
+        aimed = {i for i, m in marks.items() if m == "T" and within(i, "Y", -4, -1)}
+        out += ["threat_target"] * len(aimed)
+        for i, m in marks.items():
+            if m == "T" and i not in aimed:
+                after = [j for j in sorted(marks) if j > i and (marks[j] in "YI" or marks[j] == "T" and j not in aimed)]
+                if after and after[0] - i <= 4 and marks[after[0]] != "T":
+                    out.append("threat_target" if marks[after[0]] == "Y" else "threat_insult")
+        bare = 0
+        for i, m in marks.items():
+            if m == "I":
+                if within(i, "N", -2, -1):
+                    out.append("insult_negated")
+                elif within(i, "R", -4, -1):
+                    out.append("insult_reported")
+                elif within(i, "Y", -4, -1) or within(i, "Y", 1, 4):
+                    out.append("insult_target")
+                else:
+                    bare += 1
+        out += ["insult_pair"] * max(0, bare - 1) + ["insult_again"] * (bare > 0 and bare_before)
+        bare_before |= bare > 0
+    return sorted(out)
+
+
+def test_transducers_against_brute_force():
+    r = random.Random(11)
+    g = toxicity.Grammar()
+    for _ in range(4000):
+        clauses = [[r.choice(("idiot", "scum", "kill", "burn", "you", "they", "not", "said", "the", "green", "day", "tree")) for _ in range(r.randrange(1, 12))] for _ in range(r.randrange(1, 5))]
+        got = g.counts(". ".join(" ".join(c) for c in clauses))
+        assert sorted(p for p, n in zip(toxicity.PATTERNS, got, strict=True) for _ in range(n)) == brute_patterns(clauses, toxicity.lexicon())
+
+
+def test_weights_of_negation_and_report_move(frame):
+    """Where labels clear negated and reported insults their weights fall, and aimed ones rise."""
+    texts = {0: ("it is not stupid at all", "she said idiot once"), 1: ("you are an idiot", "they are scum indeed")}
+    rows = [(i, texts[i % 2][i // 2 % 2] + " " + "abc"[i % 3]) for i in range(400)]
+    labels = frame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    g = toxicity.fit(frame(rows, "doc_id long, text string"), labels)
+    w = dict(zip(toxicity.PATTERNS, g.weights, strict=True))
+    prior = dict(zip(toxicity.PATTERNS, toxicity.PRIOR, strict=True))
+    assert w["insult_negated"] < prior["insult_negated"] / 2 and w["insult_reported"] < prior["insult_reported"] / 2 and w["insult_target"] > prior["insult_target"]
+    assert all((g.score(g.counts(x)) >= toxicity.THRESHOLD) == bool(y) for y in texts for x in texts[y])
 
 
 def auc(pairs):

@@ -4,20 +4,27 @@ A text is cut into clauses at ``. ! ? ; :`` and line ends. The lexical transduce
 words of a clause into marks: insult (I), threat (T), target (Y), negation (N),
 reported speech (R), or nothing. Clause transducers then run over the marks in
 composition: negation and reported speech change the state in which an insult
-or threat is read, for a few words; a target beside it strengthens it. What a
-clause accepts is a set of pattern classes (``PATTERNS``), each with a weight;
-a text's score is the logistic of the weighted counts of its matched clauses,
-so isolated words count only as parts of clauses.
-
-The lexicon is a hand-written one for four languages, and words that labelled
-texts show to be insults (log-odds of document counts). The weights are fitted
-by logistic regression on the pattern counts. Both use at most about
-``fit_docs`` labelled documents (by hash of the id) outside the held-out fold.
-Labels, languages, sources and ids are never part of a score.
-
-Defined cases: null and empty texts score as a text without a match; without
-labels the prior weights hold; repeated rows give repeated rows; null ids are
-kept, and count as not held out; labels that are null are not used.
+or threat is read, for a few words; a target beside it aims it; a second bare
+insult makes a pair. The document transducer reads the clauses in order and
+accepts a clause with a bare insult only after another one: one word by itself,
+in a clause or in a whole text, is no match. What is accepted is a set of
+pattern classes (``PATTERNS``), each with a weight; a text's score is the
+logistic of the weighted counts of its matches.
+
+The lexicon is a hand-written one for four languages, and words, or beginnings
+of words (of ``STEMS`` letters), that labelled texts show to be insults
+(log-odds of document counts). The weights are fitted by logistic regression on
+the pattern counts. Both use at most about ``fit_docs`` labelled documents (by
+hash of the id) outside the held-out fold. Labels, languages, sources and ids
+are never part of a score.
+
+Defined cases: null and empty texts score as a text without a match; very long
+texts are read whole, clause by clause; empty tables give no rows, and a grammar
+with its prior weights; without labels the prior weights hold; of several labels
+of one document the greatest counts; repeated rows give repeated rows with equal
+scores, and count once for each row in a fit; a score at the threshold is toxic;
+null ids are kept, and count as not held out; labels that are null are not used;
+extra columns, whatever their names, are left out (or carried by ``reject``).
 """
 
 from __future__ import annotations
@@ -39,7 +46,6 @@ MIN_DOCS = 3
 MIN_ODDS = 3.0
 MIN_GAIN = 8.0  # nats: what chance gives a few of a million parts
 STEMS = (5, 7)  # letters of the learned beginnings of words
-MAX_LEARNED = 5_000
 THRESHOLD = 0.7
 REACH = 4  # words over which negation and reported speech hold
 
@@ -53,9 +59,9 @@ LEXICON = {
     "N": "not never no isn't aren't nicht nie kein keine pas jamais aucun non no nunca jamás ningún",
     "R": "said says called wrote quoted claims claimed reported sagte schrieb nannte behauptet dit disait écrit appelé dijo escribió llamó dicen",
 }
-#: Pattern classes of a clause, with the weights before any fit.
-PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat_target", "threat_insult", "learned", "learned_target")
-PRIOR = (2.5, 3.0, 0.8, 0.8, 1.5, 3.0, 2.5, 3.0)
+#: Pattern classes, with the weights before any fit.
+PATTERNS = ("insult_pair", "insult_again", "insult_target", "insult_negated", "insult_reported", "threat_target", "threat_insult", "learned_pair", "learned_again", "learned_target")
+PRIOR = (2.5, 2.0, 3.0, 0.8, 0.8, 1.5, 3.0, 2.5, 2.0, 3.0)
 PRIOR_BIAS = -2.5
 _CLAUSE = re.compile(r"[.!?;:\n\r]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -70,9 +76,8 @@ def lexicon() -> dict[str, str]:
     return out
 
 
-#: Clause transducer. State: (words left under negation, under reported speech, seen target, words since it).
 class Clause:
-    """Reads marks with their word places; ``out`` has the pattern classes of the clause's matches."""
+    """Reads marks with their word places; ``out`` has the pattern classes of the clause's matches, ``pending`` its bare insults."""
 
     def __init__(self) -> None:
         self.negated = self.reported = self.target = -REACH - 1
@@ -117,8 +122,20 @@ class Clause:
         self.out.append(f"{name}_target")
         return False
 
-    def end(self) -> list[str]:
-        return [*self.out, *(x for _, x in self.pending)]
+
+class Document:
+    """Reads clauses in order: a bare insult counts with another one, in its clause or in an earlier one."""
+
+    def __init__(self) -> None:
+        self.open, self.out = False, []
+
+    def read(self, clause: Clause) -> None:
+        bare = [name for _, name in clause.pending]
+        self.out += clause.out
+        if bare and self.open:
+            self.out.append(f"{bare[0]}_again")
+        self.out += [f"{name}_pair" for name in bare[1:]]
+        self.open |= bool(bare)
 
 
 def strength(count: int) -> float:
@@ -137,7 +154,7 @@ class Grammar:
 
     def counts(self, text: str | None) -> list[int]:
         """Matches by pattern class over the text's clauses."""
-        out = [0] * len(PATTERNS)
+        out, document = [0] * len(PATTERNS), Document()
         get, stem, core = self.words.get, self.stems.get, "ITL"
         mark = (lambda w: get(w) or stem(w[:7]) or stem(w[:5])) if self.stems else get
         for part in _CLAUSE.split(text.lower()) if text else ():
@@ -148,8 +165,9 @@ class Grammar:
             clause = Clause()
             for i, m in marks:
                 clause.read(i, m)
-            for name in clause.end():
-                out[PATTERNS.index(name)] += 1
+            document.read(clause)
+        for name in document.out:
+            out[PATTERNS.index(name)] += 1
         return out
 
     def score(self, counts: list[int]) -> float:
@@ -158,7 +176,10 @@ class Grammar:
 
 
 def _learned(train: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
-    """Words, and beginnings of words, whose document counts speak for label 1: counted in Spark, the strongest brought back."""
+    """Words, and beginnings of words, whose document counts speak for label 1: counted in Spark.
+
+    What comes back is bounded by the sample: ``MIN_DOCS`` documents of it hold each part.
+    """
     words = "filter(array_distinct(split(lower(text), '[^\\\\p{L}\\\\p{N}]+')), w -> length(w) > 2)"
     stems = [f"array_distinct(transform(filter({words}, w -> length(w) > {n}), w -> concat(substring(w, 1, {n}), '*')))" for n in STEMS]
     parts = train.selectExpr("label", f"explode(concat({', '.join([words, *stems])})) AS part")
@@ -172,7 +193,7 @@ def _learned(train: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
     gain = one * F.log(share / base) + F.when(zero > 0, zero * F.log((1 - share) / (1 - base))).otherwise(0.0)  # log-likelihood over the base rate's
     found = parts.groupBy("part").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero"))
     found = found.where((one >= MIN_DOCS) & (odds >= MIN_ODDS) & (gain >= MIN_GAIN))
-    top = [r[0] for r in found.orderBy(gain.desc(), "part").limit(MAX_LEARNED).select("part").collect()]
+    top = [r[0] for r in found.select("part").collect()]
     return {w: "L" for w in top if w[-1] != "*"}, {w[:-1]: "L" for w in top if w[-1] == "*"}
 
 
