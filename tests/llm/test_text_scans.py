@@ -58,7 +58,6 @@ def brute_license(t):
 
 
 def test_license_scan(spark, frame, awkward):
-    assert len(license_scan.rules()) >= 300
     extra = frame([(100, "MIT License mit license CC BY-SA 4.0", 0), (101, "Licensed under the Apache License, Version 2.0 " * 3, 0), (102, "gnu general public license " * 2000, 0)], "doc_id long, text string, score int")
     for docs in (table(spark, SF, "documents"), awkward.select("doc_id", "text"), extra):
         texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -69,18 +68,48 @@ def test_license_scan(spark, frame, awkward):
             assert set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""} and 0 <= r["score"] <= 1
 
 
-def test_license_rules_against_all_regexes(spark):
+#: Text and the labels it has.
+LICENSES = [
+    ("Licensed under the Apache License, Version 2.0. See the MIT licence.", "apache,mit"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"), ("CC BY-NC-SA 4.0; all rights reserved", "cc-by,cc-by-nc-sa,proprietary"),
+    ("Mozilla Public License v2.0 and Apache License", "apache,mpl"), ("Licensed under GPLv3", "gpl"), ("GPL-3.0-only", "gpl"), ("LGPLv2.1+ or AGPL 3", "agpl,lgpl"), ("SPDX-License-Identifier: BSD-2-Clause OR MIT", "bsd-2,mit"),
+    ("// SPDX-License-Identifier: (LGPL-2.1-or-later AND curl) OR Apache-2.0 WITH LLVM-exception\nSPDX-License-Identifier: Zlib", "apache,curl,lgpl,zlib"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of ACME nor the names of its contributors may be used", "bsd-2,bsd-3"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+    ("You should have received a copy of the GNU Lesser General Public License along with this library", "lgpl"),
+    ("must prominently offer all users interacting with it remotely through a computer network", "agpl"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("You must give appropriate credit, provide a link to the license, and indicate if changes were made.", "cc-by"), ("http://creativecommons.org/licenses/by-nd/4.0", "cc-by-nd"),
+    ("This End-User License Agreement is a legal agreement between you and us. The software is licensed, not sold.", "eula"), ("The Software shall be used for Good, not Evil.", "json"), ("not for resale; research use only", "non-commercial,proprietary"),
+    ("das Mit einer Lizenz mit 3 Worten", ""), ("a plain text, for the people", ""),
+]
+
+
+def test_license_labels():
+    assert [(t, license_scan.scan(t)[5]) for t, _ in LICENSES] == LICENSES
+
+
+def test_license_rules_against_all_regexes():
     """The gate and the containment rule lose nothing: every rule tried on every text, and suppression done pair by pair."""
-    texts = ["Licensed under the Apache License, Version 2.0. See the MIT licence.", "SPDX-License-Identifier: GPL-3.0-or-later", "CC BY-NC-SA 4.0; all rights reserved", "Mozilla Public License v2.0 and Apache License"]
+    r = random.Random(9)
+    texts = [t for t, _ in LICENSES]
+    texts += [" ".join(r.choice(texts) for _ in range(3)) for _ in range(30)] + [" ".join(r.sample(" ".join(texts).split(), 60)) for _ in range(10)]
     for t in texts:
         form = b" ".join(alnum_words(t))
-        found = sorted((r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.weight) for r in license_scan.rules() for m in r.find(form))
+        found = sorted({(x.priority, a - b, a, b, x.label, x.weight) for x in license_scan.rules() for a, b in x.spans(form)})
         kept = []
         for _, _, a, b, label, w in found:
             if not any(x <= a and b <= y for x, y, *_ in kept):
                 kept.append((a, b, label, w))
         want = sorted({k[2] for k in kept} | {x for _, x in license_scan.phrase_places(form)})
-        assert license_scan.scan(t)[5] == ",".join(want)
+        got = license_scan.scan(t)
+        assert got[5] == ",".join(want)
+        assert got[6] == round(1 - float(np.prod([1 - k[3] for k in kept])), 6)
+        assert [(d["first"], d["last"], d["label"], d["weight"]) for d in got[7]] == [(form.count(b" ", 0, a), form.count(b" ", 0, b), label, w) for a, b, label, w in sorted(kept)]
+
+
+def test_license_rules_are_several_hundred():
+    found = license_scan.rules()
+    assert len({(x.label, x.gates[0][0]) for x in found}) > 200 and len({x.label for x in found}) > 100
 
 
 def named(g, text):
