@@ -250,6 +250,27 @@ def test_inferred_automata_tell_formats():
     assert min(good) > max(bad) and m.automata["hex"].states < 60
 
 
+def test_all_candidates_are_scored(frame):
+    """Bare credentials of any length from 12 on, letters only, with dots, or very long, are spans of their whole run; prose is none."""
+    r = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(r.choice(chars) for _ in range(n))
+    prose = lambda n: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randrange(2, 17))) for _ in range(n))
+    docs = [(i, f"{prose(30)} token={key(r.randrange(12, 40))}, secret: {key(10)}.{key(12)}.{key(9)}. {prose(20)}") for i in range(200)]
+    bare = {1000: key(14), 1001: key(12) + "." + key(11) + "." + key(15), 1002: key(5_000), 1003: "".join(r.choice(chars[:52]) for _ in range(30))}
+    docs += [(i, f"{prose(10)} {v}. {prose(10)}") for i, v in bare.items()] + [(2000, prose(500))]
+    texts = dict(docs)
+    rows = {x["doc_id"]: x for x in secret_scan.secret_scan(frame(docs, "doc_id long, text string")).collect()}
+    assert {i: [texts[i][s["start"] : s["end"]] for s in rows[i]["found"] if s["kind"] == "inferred"] for i in bare} == {i: [v] for i, v in bare.items()}
+    assert rows[2000]["found"] == [] and sum(x["n_inferred"] for x in rows.values()) == 4
+    model = secret_scan.fit(frame(docs, "doc_id long, text string"))
+    for i, t in texts.items():  # the same by scoring every run there is
+        base = brute_secrets(t)
+        runs = [(m.start() + len(m[0]) - len(m[0].lstrip(".")), m.start() + len(m[0].rstrip("."))) for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t)]
+        more = [(a, b, "inferred") for a, b in runs if b - a >= 12 and not any(x < b and y > a for x, y, _ in base) and model.likely(t[a:b]) > secret_scan.MARGIN]
+        assert [(s["start"], s["end"], s["kind"]) for s in rows[i]["found"]] == sorted(base + more, key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+
+
 @pytest.mark.parametrize("fn", [license_scan.license_scan])
 def test_empty_tables(nothing, fn):
     assert fn(nothing).count() == 0

@@ -4,21 +4,28 @@ Base spans are matches of three patterns (assignments, access keys, hex runs).
 Their values, labelled by the pattern's kind, are the examples of a grammar
 inference: a prefix tree over character classes whose states are merged where
 a Hoeffding bound finds their symbol and stop frequencies compatible. Each kind
-gets a probabilistic automaton. Every other long run of credential characters
-in every text is then scored: log-likelihood of the best automaton, less that
-of ordinary long runs (a bigram model over the same classes), by character.
+gets a probabilistic automaton. All other runs of ``LEAST`` credential
+characters and more, the class and least length of the examples, are candidates
+in every text and scored whole: log-likelihood of the best automaton, less that
+of ordinary runs (a bigram model over the same classes), by character. Dots at a
+run's edges end sentences and are not part of it.
 
 The examples come from a bounded sample of documents (``fit_docs`` in number,
-by hash of the id) and at most ``fit_values`` values of each kind, those with
-the smallest hashes; all documents are scanned.
+by hash of the id) and at most ``fit_values`` whole values of each kind, and
+``FIT_ORDINARY`` ordinary runs, those with the smallest hashes; longer ones than
+``FIT_LENGTH`` are no examples. All documents are scanned, and values of any
+length scored.
 
 Defined cases: null and empty texts have no spans (counts 0, empty strings);
-null ids are kept; repeated rows give repeated rows; without any example only
-base spans are found; further columns are left out (or carried by ``redact``).
+very long texts are scanned whole; an empty table gives no rows; null ids are
+kept; repeated rows give repeated rows; spans of one start stand in the order of
+kinds; without any example only base spans are found; further columns, whatever
+their names, are left out (or carried by ``redact``).
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -34,6 +41,9 @@ from .common import batch, map_batches, pick, stored
 KINDS = ("assign", "access", "hex", "inferred")
 FIT_DOCS = 20_000
 FIT_VALUES = 300
+FIT_ORDINARY = 10_000
+FIT_LENGTH = 256
+LEAST = 12
 ALPHA = 0.05
 MARGIN = 0.35  # nats by character over ordinary runs
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -41,7 +51,7 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{{{LEAST - 2},}}[A-Za-z0-9+/_=-]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -63,15 +73,13 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str]]:
-    """Long runs with a letter and a digit that meet no base span."""
+    """Runs of credential characters that meet no base span."""
     taken = [(a, b) for a, b, _, _ in base]
     k = 0
     for m in _CANDIDATE.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if any(b > m.start() for a, b in itertools.takewhile(lambda s: s[0] < m.end(), itertools.islice(taken, k, None))):
-            continue
-        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+        if not any(b > m.start() for a, b in itertools.takewhile(lambda s: s[0] < m.end(), itertools.islice(taken, k, None))):
             yield m.start(), m.end(), m[0]
 
 
@@ -188,7 +196,10 @@ class Model:
 
     def likely(self, value: str) -> float:
         """Format likelihood over ordinary runs, nats by character; minus infinity without examples."""
-        marks = symbols(value)
+        return self._marked(symbols(value))
+
+    @functools.lru_cache(maxsize=1 << 16)  # ordinary runs have few forms
+    def _marked(self, marks: str) -> float:
         own = "^" + marks + "$"
         plain = sum(self.plain[p] for p in zip(own, own[1:])) / (len(marks) + 1)
         return max((a.score(marks) for a in self.automata.values()), default=-math.inf) - plain
@@ -201,23 +212,23 @@ def _sampled(docs: DataFrame, fit_docs: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_values: int = FIT_VALUES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Automata from at most ``fit_values`` distinct values of each kind (and as many ordinary runs)."""
+    """Automata from at most ``fit_values`` distinct values of each kind, against ordinary runs."""
 
     def values(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = set()
         for t in b.column(1).to_pylist():
             if t:
                 base = base_spans(t)
-                found.update((k, v[:256]) for _, _, k, v in base)
-                found.update(("", m[0][:256]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", t) if not any(a < m.end() and b > m.start() for a, b, _, _ in base))
-        rows = sorted(found)
+                found.update((k, v) for _, _, k, v in base)
+                found.update(("", v) for _, _, v in candidates(t, base))
+        rows = sorted(x for x in found if len(x[1]) <= FIT_LENGTH)
         yield batch(pa.schema([("kind", pa.string()), ("value", pa.string())]), [r[0] for r in rows], [r[1] for r in rows])
 
     found = map_batches(_sampled(pick(docs, id_col, text_col).toDF("id", "text"), fit_docs), values, "kind string, value string").distinct()
     found = stored(found, "values")  # read once for each kind
     held: dict[str, list[str]] = {}
     for kind in ("", *KINDS[:3]):  # a bounded top-k each
-        held[kind] = [r[0] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(fit_values).select("value").collect()]
+        held[kind] = [r[0] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(fit_values if kind else FIT_ORDINARY).select("value").collect()]
     return Model({k: v for k, v in held.items() if k}, held[""])
 
 
