@@ -28,6 +28,27 @@ def test_bpe(spark, awkward, nothing):
     assert bpe.bpe(nothing).count() == 0
 
 
+def test_bpe_by_plain_joins(spark, awkward, nothing):
+    for docs in (awkward, table(spark, SF, "documents"), nothing):
+        plain = lambda df: sorted(((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in df.select("doc_id", "n_tokens", "ids", "decoded").collect()), key=str)
+        assert plain(bpe.bpe_rows(docs)) == plain(bpe.bpe(docs))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("warden_blocks")]
+
+
+def test_vocabularies_that_look_across_words_are_refused():
+    import json
+
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="single words"):
+        bpe.check_vocabulary(bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")))
+    spec = json.loads(bpe.tokenizer_json())
+    bpe.check_vocabulary(json.dumps(spec))
+    spec["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        bpe.check_vocabulary(json.dumps(spec))
+
+
 def test_packing():
     for x in ([], [0], [1, 2**32 - 1, 7]):
         assert bpe.unpack(bpe.pack(np.array(x, np.uint32))).tolist() == x

@@ -17,16 +17,26 @@ other. The words are encoded once each:
 Words are shuffled once for each block they occur in. Texts are not shuffled:
 their numbers lie in a table bucketed by block, where the ids come to them.
 There are as many buckets as shuffle partitions, so a bucket stays small where
-those are sized to the data; a word that is in every block is one entry of each.
-
-Defined cases: null and empty texts have no ids and decode to an empty text;
-null ids are kept; repeated rows give repeated rows; extra columns are left out;
-the strings of special tokens in a text are those tokens, as in the library.
+those are sized to the data; a word that is in every block is one entry of each,
+and a block has no more rows than distinct words however many buckets there are.
+
+``bpe_rows`` is the same in plain joins, with a row for each word and each
+token: words are split by Spark, the distinct ones encoded, ids joined back by
+word and position and pieces by id. It shuffles several times the text.
+
+Defined cases: null and empty texts have no ids and decode to an empty text; an
+empty table gives no rows; null ids are kept; repeated rows give repeated rows;
+there are no ties, a word's ids being one sequence; very long texts are read
+whole (a text over the block's size is a block of its own); extra columns,
+whatever their names, are left out; the strings of special tokens in a text are
+those tokens, as in the library; a vocabulary that looks across white space, or
+decodes otherwise than by blanks, is refused.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -35,10 +45,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, shared_dir
+from .common import new_path, pick
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_BYTES = 8 << 20
@@ -67,6 +77,27 @@ def _tokenizer(text: str):
     return t, pieces
 
 
+_PROBES = ("a b", "ab\tcd\nef\rgh", " x  y ", "don't stop", "A\u0301 e\u0301 \u0301", "12 3.5, (x) [y]", "\u00df \u6f22\u5b57 \U0001f600", "a\x0bb\x0cc", "...\n\n...", "a\u00a0b c\u2003d", "")
+
+
+def check_vocabulary(text: str) -> None:
+    """Refuses a tokenizer whose ids of a text are not those of its words, or whose decoder is no join by blanks."""
+    spec = json.loads(text)
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    odd = [n["type"] for n in parts(spec["normalizer"], "normalizers") if n["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace")]
+    odd += [a["content"] for a in spec["added_tokens"] if a["lstrip"] or a["rstrip"] or a["content"].split() != [a["content"]]]
+    if spec["decoder"] is not None:
+        odd.append(spec["decoder"]["type"])
+    t, pieces = _tokenizer(text)
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    for x in _PROBES:
+        by_word = [i for w in x.encode().split() for i in ids(w.decode())]
+        if ids(x) != by_word or t.decode(by_word, skip_special_tokens=False) != " ".join(pieces[i] for i in by_word):
+            odd.append(repr(x))
+    if odd:
+        raise ValueError(f"not a tokenizer of single words: {', '.join(odd)}")
+
+
 def _zip(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(x)
 
@@ -232,14 +263,53 @@ def bpe(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     ``vocabulary``: the tokenizer's JSON, as ``tokenizer_json(path)`` reads it.
     """
     docs = pick(docs, id_col, text_col).toDF("id", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary or tokenizer_json())  # one vocabulary file
     spark = docs.sparkSession
+    vocabulary = vocabulary or tokenizer_json()
+    check_vocabulary(vocabulary)
+    sent = spark.sparkContext.broadcast(vocabulary)  # one vocabulary file
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = max(BUCKETS_LEAST, parts)  # a bucket of words is a shuffle partition's worth, as the session sizes them
     cut = split_blocks(docs, buckets, block_bytes)
     # bucketed by block: what waits for the words' ids is not shuffled again
-    name, path = f"warden_blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    cut.write.option("path", path).option("compression", "none").bucketBy(parts, "block").saveAsTable(name)  # its columns are compressed already
+    name = f"warden_blocks_{uuid.uuid4().hex}"
+    cut.write.option("path", new_path(spark, "blocks")).option("compression", "none").bucketBy(parts, "block").saveAsTable(name)  # its columns are compressed already
     cut = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files are an external table's
     words = encode_words(cut.where("bucket is not null"), sent)
     return join_back(cut.where("bucket is null").select("block", "docs", "counts", "numbers"), words, sent, docs.schema["id"].dataType.simpleString()).withColumnRenamed("id", id_col)
+
+
+# --- in plain joins
+
+
+def pieces_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """(token, piece): a row for each id of the vocabulary."""
+    _, pieces = _tokenizer(vocabulary)
+    return spark.createDataFrame(list(enumerate(pieces)), "token int, piece string")
+
+
+def bpe_rows(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``bpe`` gives, by joins of words, ids and pieces as rows."""
+    docs = pick(docs, id_col, text_col).toDF("id", "text")
+    vocabulary = vocabulary or tokenizer_json()
+    check_vocabulary(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, _ = _tokenizer(sent.value)
+        for b in batches:
+            found = t.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    c = F.col
+    text = F.coalesce("text", F.lit(""))
+    same = docs.groupBy("id", F.sha2(text, 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.first(text).alias("text"))
+    words = same.select("id", "digest", F.posexplode(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")).alias("at", "word")).where("word <> ''")
+    encoded = words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
+    tokens = words.join(encoded, "word").select("id", "digest", "at", F.posexplode("ids").alias("k", "token")).join(pieces_table(docs.sparkSession, vocabulary), "token")
+    rows = tokens.groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("at", "k", "token", "piece"))).alias("rows"))  # one document's tokens
+    little = lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
+    ids = F.unhex(F.array_join(F.transform("rows", lambda x: little(x["token"])), ""))
+    rows = rows.select(c("id").alias("i"), c("digest").alias("d"), F.size("rows").cast("long").alias("n_tokens"), ids.alias("ids"), F.array_join(F.transform("rows", lambda x: x["piece"]), " ").alias("decoded"))
+    out = same.join(rows, c("id").eqNullSafe(c("i")) & (c("digest") == c("d")), "left").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(c("id").alias(id_col), F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("ids", F.lit(b"")).alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded"))

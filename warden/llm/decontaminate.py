@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import alnum_words, batch, small_batches, stored
+from .common import alnum_words, batch, scratch, small_batches, stored
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -364,13 +364,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(docs: DataFrame, items: DataFrame, n_blocks: int, n_bytes: int, window: int, shard_words: int, text_col: str) -> DataFrame:
     """(hash, n_hit, hits, items, longest, start) of the texts that any block hits."""
-    suspects = stored(_suspects(docs, text_col, *window_filter(items, n_blocks, n_bytes, window)), "suspects")
-    parts = [stored(_pass(suspects, block, window, shard_words), "hits") for block in _blocks(items, n_blocks)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    rows = every.groupBy("hash").agg(F.collect_list(F.struct("hits", "items", "longest", "start")).alias("rows"))  # a row for each block at most
-    return stored(rows.mapInArrow(_joined, "hash binary, n_hit long, hits array<long>, items array<string>, longest long, start long"), "found")
+    with scratch(docs.sparkSession) as keep:
+        suspects = stored(_suspects(docs, text_col, *window_filter(items, n_blocks, n_bytes, window)), "suspects")
+        parts = [stored(_pass(suspects, block, window, shard_words), "hits") for block in _blocks(items, n_blocks)]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        rows = every.groupBy("hash").agg(F.collect_list(F.struct("hits", "items", "longest", "start")).alias("rows"))  # a row for each block at most
+        return keep(stored(rows.mapInArrow(_joined, "hash binary, n_hit long, hits array<long>, items array<string>, longest long, start long"), "found"))
 
 
 def _hashed(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batch, pick, stored
+from .common import batch, delete, pick, scratch, stored
 
 WORDS = 4
 PERCENT = 85
@@ -393,16 +393,19 @@ def components(edges: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
     folder. Hot centres are aggregated before the shuffle, and the joins back
     to them are equi-joins that adaptive execution splits.
     """
+    spark = edges.sparkSession
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "edges")
+        large, before = stored(large, "edges"), now
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = stored(small, "edges")
+        for df in (before, large):  # read for the last time
+            delete(spark, df.stored_at)
         new = tuple(now.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
             break
@@ -459,7 +462,9 @@ def _named(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, int]:
     if ids.where("a <> b").limit(1).count():  # two sets of one signature: as good as never
         return _named(docs, seed + 1)
     ids = stored(ids.select("node", "id"), "ids")
-    named = ids.join(links(docs, found, ids, seed), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    with scratch(docs.sparkSession) as keep:
+        labels = keep(links(docs, found, ids, seed))
+    named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     return of.drop("check"), named.join(least, "label").select("node", "label", "component_id"), seed
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, pick, stored
+from .common import batch, map_batches, pick, scratch, stored
 
 KINDS = ("assign", "access", "hex", "inferred")
 FIT_DOCS = 20_000
@@ -225,10 +225,11 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_values: int = FIT_VALUES,
         yield batch(pa.schema([("kind", pa.string()), ("value", pa.string())]), [r[0] for r in rows], [r[1] for r in rows])
 
     found = map_batches(_sampled(pick(docs, id_col, text_col).toDF("id", "text"), fit_docs), values, "kind string, value string").distinct()
-    found = stored(found, "values")  # read once for each kind
     held: dict[str, list[str]] = {}
-    for kind in ("", *KINDS[:3]):  # a bounded top-k each
-        held[kind] = [r[0] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(fit_values if kind else FIT_ORDINARY).select("value").collect()]
+    with scratch(docs.sparkSession):
+        found = stored(found, "values")  # read once for each kind
+        for kind in ("", *KINDS[:3]):  # a bounded top-k each
+            held[kind] = [r[0] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(fit_values if kind else FIT_ORDINARY).select("value").collect()]
     return Model({k: v for k, v in held.items() if k}, held[""])
 
 
