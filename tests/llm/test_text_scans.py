@@ -212,6 +212,47 @@ def test_quality_shrinks_to_the_host(spark, frame):
     assert all(r["path_rate"] > rate for (h, _), r in rows.items() if h == "good") and all(r["path_rate"] < rate for (h, _), r in rows.items() if h == "bad")
 
 
+def test_quality_against_brute_force(frame):
+    """Features, counts without a document's own label, and both levels of shrinking, in plain Python."""
+    r = random.Random(14)
+    docs = [(i, r.choice(["", None, "Some Words here.", "x9 $$ ##\nUP", "a b c d e f g h i j k l"]), r.choice(["h1", "h2", None]), r.choice(["p", "q", None])) for i in range(80)]
+    labels = [(i, r.choice([0, 1, None])) for i in range(0, 80, 2)] + [(0, 1), (0, 0), (500, 1), (None, 1)]
+    weights = np.array([r.uniform(-1, 1) for _ in range(len(quality.FEATURES) + 1)])
+    got = {x["doc_id"]: x for x in quality.quality(frame(docs, "doc_id long, text string, source string, lang string"), frame(labels, "doc_id long, quality int"), weights=weights).collect()}
+    mark: dict[int, int] = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            mark[i] = max(y, mark.get(i, 0))
+    use = {i: mark[i] for i, *_ in docs if i in mark}
+    rate = (sum(use.values()) + 1) / (len(use) + 2)
+
+    def strength(groups):
+        of = [(len(g), sum(g)) for g in groups if len(g) >= 2]
+        if len(of) < 2:
+            return 20.0
+        n, s = sum(a for a, _ in of), sum(b for _, b in of)
+        mean = s / n
+        spread = sum(b * b / a for a, b in of) - n * mean * mean
+        between = (spread - (len(of) - 1) * mean * (1 - mean)) / (n - sum(a * a for a, _ in of) / n)
+        return 200.0 if between <= 0 else min(200.0, max(2.0, mean * (1 - mean) / between - 1))
+
+    group = lambda key: [[use[i] for i, *rest in docs if i in use and key(rest) == k] for k in {key(rest) for _, *rest in docs}]
+    k_host, k_path = strength(group(lambda x: x[1])), strength(group(lambda x: (x[1], x[2])))
+    for i, text, host, path in docs:
+        t = text or ""
+        n, w = len(t), re.split(r"\s+", t.strip(" "))
+        count = lambda chars: sum(c in chars for c in t) / max(n, 1)
+        x = [count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("0123456789"), count("#$%&*!|@^~<>{}[]"), count(".,;:?"), count("\n"), min(20, n / len(w)) / 20, len(set(w)) / len(w), len(w) < 10, min(10, np.log(1 + len(w))) / 10]
+        z = float(np.dot(x, weights[:-1]) + weights[-1])
+        others = [(use[j], h, p) for j, _, h, p in docs if j in use and j != i]
+        at_host, at_path = [y for y, h, _ in others if h == host], [y for y, h, p in others if (h, p) == (host, path)]
+        host_rate = (sum(at_host) + k_host * rate) / (len(at_host) + k_host)
+        path_rate = (sum(at_path) + k_path * host_rate) / (len(at_path) + k_path)
+        total = z + np.log(path_rate / (1 - path_rate)) - np.log(rate / (1 - rate))
+        want = (1 / (1 + np.exp(-z)), host_rate, path_rate, 1 / (1 + np.exp(-total)))
+        assert np.allclose([got[i][k] for k in ("evidence", "host_rate", "path_rate", "score")], want), i
+
+
 def brute_secrets(t):
     out = []
     for k, p, n in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", "AKIA[A-Z0-9]+", 18), ("hex", "[0-9a-f]+", 16)):
