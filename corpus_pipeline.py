@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warden.llm import decontaminate, ngram_join, secret_scan, toxicity
-from warden.llm.common import stored, table
+from warden.llm.common import delete, scratch, stored, table
 from warden.llm.queries import bpe_digests
 
 
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage stored for itself, and its input, go when its output is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            out = keep(stored(stage(spark, docs, sf_dir), name))
+        if hasattr(docs, "stored_at"):
+            delete(spark, docs.stored_at)
+        docs = out
     return docs
