@@ -1,11 +1,14 @@
 """The lexer as Column expressions, for the common subset (no nested comments, dollar tags or escape strings).
 
-It stays inside code generation and has a DuckDB twin, so queries over it are
-checked row by row. ``lexer`` has the full grammar.
+It is made of built-in functions (over arrays of tokens, so it runs beside
+whole-stage code generation, not in it) and has a DuckDB twin, so queries over
+it are checked row by row. ``lexer`` has the full grammar.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,12 +39,30 @@ def kind(t: Column) -> Column:
     )
 
 
+def _first(t: Column, *ranges: tuple[str, str]) -> Column:
+    """Whether a token's first character is in a range: cheaper than a pattern, for it is asked of every token."""
+    return reduce(lambda a, b: a | b, [F.ascii(t).between(ord(x), ord(y)) for x, y in ranges])
+
+
+def _number(t: Column) -> Column:
+    return _first(t, ("0", "9"))
+
+
+def _word(t: Column) -> Column:
+    return _first(t, ("A", "Z"), ("_", "_"), ("a", "z"))
+
+
+def _literal(t: Column) -> Column:
+    return t.startswith("'") | _number(t)
+
+
 def written(t: Column) -> Column:
-    """A token in canonical text."""
-    k = kind(t)
+    """A token in canonical text; the branches are those of ``kind``, each looked at once."""
+    low = lower_ascii(t)
+    is_int = ~t.contains(".") & (F.length(t) <= 10) & (t.try_cast("bigint") <= MAX_INT)
     return (
-        F.when(k == "str", "?str").when(k == "int", "?int").when(k == "num", "?num").when(k == "keyword", upper_ascii(t))
-        .when((k == "ident") & ~t.startswith('"'), F.concat(F.lit('"'), lower_ascii(t), F.lit('"'))).when(t == "!=", "<>").otherwise(t)
+        F.when(_word(t), F.when(low.isin(sorted(KEYWORDS)), upper_ascii(t)).otherwise(F.concat(F.lit('"'), low, F.lit('"'))))
+        .when(t.startswith("'"), "?str").when(_number(t), F.when(is_int, "?int").otherwise("?num")).when(t == "!=", "<>").otherwise(t)
     )
 
 
@@ -53,7 +74,7 @@ def canonical(c: Column, t: Column | None = None) -> Column:
 def words(c: Column, t: Column | None = None) -> Column:
     """Tokens joined by blanks, for word matching: names lower-cased and bare, literals as ``?``."""
     bare = lambda t: F.when(t.startswith('"'), F.regexp_replace(lower_ascii(F.substring(t, 2, 2147483647)), r'\s|"', "")).otherwise(lower_ascii(t))
-    return F.concat(F.lit(" "), F.array_join(F.transform(tokens(c) if t is None else t, lambda x: F.when(kind(x).isin("str", "int", "num"), "?").otherwise(bare(x))), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(F.transform(tokens(c) if t is None else t, lambda x: F.when(_literal(x), "?").otherwise(bare(x))), " "), F.lit(" "))
 
 
 def keyword_hit(c: Column, keywords: list[str], t: Column | None = None) -> Column:
@@ -76,10 +97,9 @@ def tautology(c: Column, t: Column | None = None) -> Column:
     """Whether ``OR literal = literal`` with equal values stands in the statement."""
     t = tokens(c) if t is None else t
     plain = lambda x: F.regexp_replace(F.regexp_replace(x, "^'", ""), "'$", "")
-    literal = lambda x: kind(x).isin("str", "int", "num")
     at = lambda i, k: F.get(t, i + k)
     places = F.when(F.size(t) >= 4, F.sequence(F.lit(0), F.size(t) - 4)).otherwise(F.array().cast("array<int>"))
-    return c.rlike("(?i)or") & c.contains("=") & F.exists(places, lambda i: (lower_ascii(at(i, 0)) == "or") & literal(at(i, 1)) & (at(i, 2) == "=") & literal(at(i, 3)) & (plain(at(i, 1)) == plain(at(i, 3))))
+    return c.rlike("(?i)or") & c.contains("=") & F.exists(places, lambda i: (lower_ascii(at(i, 0)) == "or") & _literal(at(i, 1)) & (at(i, 2) == "=") & _literal(at(i, 3)) & (plain(at(i, 1)) == plain(at(i, 3))))
 
 
 def fingerprint(canonical_text: Column, system_identifier: Column, db_oid: Column, extension_oid: Column, relations: Column | None = None, items: Column | None = None, domain: bytes = DOMAIN) -> Column:

@@ -41,14 +41,42 @@ def split_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
-def ipv4(c: Column) -> Column:
-    """IPv4 addresses by value, also IPv4-mapped ones, zones cut off; null for what is neither.
-
-    Other IPv6 addresses take ``normal_ip`` of the settings module (a UDF where a column is needed).
-    """
-    bare = F.regexp_replace(F.regexp_replace(lower_ascii(F.btrim(F.split_part(c, F.lit("%"), F.lit(1)))), "^::ffff:", ""), "^0:0:0:0:0:ffff:", "")
-    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    return F.when(bare.rlike(f"^{octet}(\\.{octet}){{3}}$"), bare)
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+
+
+def ip_address(c: Column) -> Column:
+    """Addresses by value, as ``settings.normal_ip`` writes them: zones cut off, IPv4-mapped ones as IPv4; null for what is none."""
+    bare = lower_ascii(F.btrim(F.split_part(c, F.lit("%"), F.lit(1)), F.lit(BLANKS)))
+    return F.when(bare.rlike(f"^{_IPV4}$"), bare).when(bare.contains(":"), _ipv6(bare))
+
+
+def _ipv6(bare: Column) -> Column:
+    """An address with colons: eight groups, the longest row of zero groups (two at least, the first of equals) shortened."""
+    at = rf"^([0-9a-f:]*:)({_OCTET})\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+    part = lambda k: F.regexp_extract(bare, at, k).try_cast("int")
+    tail = F.concat(F.regexp_extract(bare, at, 1), _hex(part(3) * 256 + part(4)), F.lit(":"), _hex(part(5) * 256 + part(6)))
+    text = F.when(bare.rlike(at), tail).otherwise(bare)
+    halves = F.split(text, "::")
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    missing = 8 - F.size(left) - F.size(right)
+    fits = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing >= 1))
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    good = fits & F.forall(every, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    plain = F.array_join(F.transform(every, lambda x: F.regexp_replace(x, "^0{1,3}(?=.)", "")), ":")
+    mapped = F.regexp_extract(plain, "^0:0:0:0:0:ffff:([0-9a-f]+):([0-9a-f]+)$", 1)
+    word = lambda k: F.conv(F.regexp_extract(plain, "^0:0:0:0:0:ffff:([0-9a-f]+):([0-9a-f]+)$", k), 16, 10).cast("int")
+    octets = F.concat_ws(".", *[F.shiftright(word(k), s).bitwiseAND(F.lit(255)).cast("string") for k in (1, 2) for s in (8, 0)])
+    short = plain
+    for n in range(2, 9):
+        row = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+        short = F.when(plain.rlike(row), F.regexp_replace(plain, row, "$1::$2")).otherwise(short)
+    return F.when(good, F.when(mapped != "", octets).otherwise(short))
+
+
+def _hex(c: Column) -> Column:
+    return F.lower(F.hex(c.cast("bigint")))
 
 
 def be32(c: Column) -> Column:

@@ -6,14 +6,16 @@ when Spark's own size check allows it, and joined by key or by rule otherwise.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexed
-from ..functions.text import ipv4, lower_ascii
-from ..settings import Settings, items, minute_of_day, normal_ip, role_ip
+from ..functions.text import ip_address, lower_ascii
+from ..settings import Settings, ascii_lower, items, minute_of_day, normal_ip, role_ip
 
 TAUTOLOGY_REASON = "Query matched default injection pattern."
 REGEX_REASON = "Query blocked by security regex pattern."
@@ -28,7 +30,7 @@ def ip_reason(s: Settings, ip: Column) -> Column:
     blocked = [normal_ip(x) for x in items(s.blocked_ips)]
     if not (s.enable_ip_blocking and blocked):
         return _none()
-    return F.when(ipv4(ip).isin(blocked), F.format_string("Connection from blocked IP address '%s' is not allowed.", ip))
+    return F.when(ip_address(ip).isin(blocked), F.format_string("Connection from blocked IP address '%s' is not allowed.", ip))
 
 
 def app_reason(s: Settings, app: Column) -> Column:
@@ -36,7 +38,7 @@ def app_reason(s: Settings, app: Column) -> Column:
     blocked = items(s.blocked_applications)
     if not (s.enable_application_blocking and blocked):
         return _none()
-    return F.when(lower_ascii(app).isin([x.lower() for x in blocked]), F.format_string("Connections from application '%s' are not allowed.", app))
+    return F.when(lower_ascii(app).isin([ascii_lower(x) for x in blocked]), F.format_string("Connections from application '%s' are not allowed.", app))
 
 
 def binding_reason(s: Settings, role: Column, ip: Column) -> Column:
@@ -45,7 +47,7 @@ def binding_reason(s: Settings, role: Column, ip: Column) -> Column:
     if not (s.enable_role_ip_binding and pairs):
         return _none()
     bound = role.isin(sorted({r for r, _ in pairs}))
-    fits = reduce(lambda a, b: a | b, [(role == r) & F.coalesce(ipv4(ip) == a, F.lit(False)) for r, a in pairs])
+    fits = F.coalesce(F.concat_ws("@", ip_address(ip), role).isin([f"{a}@{r}" for r, a in pairs]), F.lit(False))
     return F.when(bound & ~fits, F.format_string("Role '%s' is not allowed to connect from IP '%s'.", role, F.coalesce(ip, F.lit("[local]"))))
 
 
@@ -72,26 +74,34 @@ def tautology_reason(s: Settings, text: Column, tokens: Column) -> Column:
     return F.when(lexed.tautology(text, tokens), F.lit(TAUTOLOGY_REASON)) if s.enable_builtin_injection_check else _none()
 
 
+#: What stands for a PostgreSQL mark in Java's dialect: POSIX classes and word ends.
+_JAVA = (
+    *((f"[:{name.lower()}:]", f"\\p{{{name}}}") for name in ("Alpha", "Digit", "Alnum", "Upper", "Lower", "Space", "Punct", "XDigit", "Blank", "Cntrl", "Print", "Graph")),
+    ("\\m", "\\b(?=\\w)"), ("\\M", "\\b(?<=\\w)"), ("\\y", "\\b"), ("\\Y", "\\B"),
+)
+
+
 def java_pattern(pattern: str) -> str:
-    """A PostgreSQL regular expression in Java's dialect: POSIX classes and word ends."""
-    classes = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "space": "Space", "punct": "Punct", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "print": "Print", "graph": "Graph"}
-    for name, java in classes.items():
-        pattern = pattern.replace(f"[:{name}:]", f"\\p{{{java}}}")
-    for mark, java in (("\\m", "\\b(?=\\w)"), ("\\M", "\\b(?<=\\w)"), ("\\y", "\\b"), ("\\Y", "\\B")):
-        pattern = pattern.replace(mark, java)
-    return f"(?i){pattern}"
+    """A PostgreSQL regular expression in Java's dialect, without regard to case."""
+    return "(?i)" + reduce(lambda p, x: p.replace(*x), _JAVA, pattern)
+
 
+def java_pattern_column(pattern: Column) -> Column:
+    """``java_pattern`` over a table of rules."""
+    return F.concat(F.lit("(?i)"), reduce(lambda p, x: F.replace(p, F.lit(x[0]), F.lit(x[1])), _JAVA, pattern))
 
-def rule_fault(pattern: str) -> str | None:
-    """Why a rule may not be stored: nested repetition, doubled quantifiers, or no regular expression."""
-    import re
 
+def rule_fault(pattern: str, spark: SparkSession | None = None) -> str | None:
+    """Why a rule may not be stored: nested repetition, doubled quantifiers, or no regular expression of the dialect it runs in."""
     if re.search(r"\(\?[^)]*\{[^}]*\}[^)]*\)", pattern) or re.search(r"[*+]\+|\*\*|\+\*", pattern):
         return "pattern could take exponential time"
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("a rule is compiled where it runs, which takes a session")
     try:
-        re.compile(re.sub(r"\[:(\w+):\]", "a", pattern))
-    except re.error as e:
-        return f"invalid pattern: {e}"
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except Py4JJavaError as e:
+        return f"invalid pattern: {e.java_exception.getMessage()}"
     return None
 
 
@@ -111,10 +121,16 @@ def regex_blocked(statements: DataFrame, rules: DataFrame) -> DataFrame:
     return statements.join(active, F.expr("query_text rlike _pattern") & ~exempt, "left_semi")
 
 
+#: Rules that are merged into the plan; a longer list is joined.
+MAX_MERGED = 100
+
+
 def regex_reason_column(rules: list[tuple[str, list[str] | None]], text: Column, role: Column) -> Column:
-    """The same for a rule set of checked size, merged into the plan: no join, and evaluation stops at the first hit."""
+    """The same for ``MAX_MERGED`` rules at most, merged into the plan: no join, and evaluation stops at the first hit."""
     if not rules:
         return _none()
+    if len(rules) > MAX_MERGED:
+        raise ValueError(f"{len(rules)} rules are too many for one expression; join them (regex_blocked)")
     hit = reduce(lambda a, b: a | b, [text.rlike(java_pattern(p)) & (~role.isin(exempt) if exempt else F.lit(True)) for p, exempt in rules])
     return F.when(hit, F.lit(REGEX_REASON))
 

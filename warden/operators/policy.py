@@ -107,7 +107,7 @@ class PolicyStore:
     def add_regex_rule(self, pattern: str, description: str | None = None) -> int:
         """The new rule's id."""
         self._guard()
-        if fault := rule_fault(pattern):
+        if fault := rule_fault(pattern, self.spark):
             raise ValueError(fault)
         rules = self.read("regex_rules")
         new = (rules.agg(F.max("id")).first()[0] or 0) + 1

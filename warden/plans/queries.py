@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import families, lexed, native_lex
 from ..functions.lexer import KEYWORDS
-from ..functions.text import byte_range, ipv4, split_list, statement_text, utf8_cut, utf8_prefix
+from ..functions.text import byte_range, ip_address, split_list, statement_text, utf8_cut, utf8_prefix
 from ..operators import audit, decide, gates, learn, rate, shaping
 from ..operators.decide import Policy
 from ..settings import Settings
@@ -182,7 +182,7 @@ def parsed_lists(spark, sf_dir):
 @query(f"{BASE} SELECT stmt_id, client_addr AS ip FROM stmts")
 def normalized_ip(spark, sf_dir):
     shown = F.when(F.col("stmt_id") % 3 == 0, F.concat(F.lit("::FFFF:"), F.col("client_addr"))).when(F.col("stmt_id") % 3 == 1, F.concat(F.col("client_addr"), F.lit("%eth0"))).otherwise(F.col("client_addr"))
-    return log(spark, sf_dir).select("stmt_id", ipv4(shown).alias("ip"))
+    return log(spark, sf_dir).select("stmt_id", ip_address(shown).alias("ip"))
 
 
 # --- gates
