@@ -88,19 +88,16 @@ class Queries:
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Positions of nonzero words, sorted by the ``depth`` words that follow (zeros past the end)."""
-    rank = words.astype(np.int64)
+    rank, at = words.astype(np.int32), np.flatnonzero(words).astype(np.int32)
     n, span = len(rank), 1
     while span < depth:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - span] = rank[span:] if span < n else 0
-        key = rank * (int(rank.max(initial=0)) + 1) + nxt
+        key = rank[at].astype(np.int64) * (int(rank.max(initial=0)) + 1)
+        inside = at < n - span
+        key[inside] += rank[at[inside] + span]
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        step = np.empty(n, np.int64)
-        step[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])) + 1
-        rank = np.where(rank == 0, 0, step)
+        key = key[order]
+        rank[at[order]] = np.cumsum(np.diff(key, prepend=key[:1] - 1) != 0, dtype=np.int32)
         span *= 2
-    at = np.flatnonzero(words)
     return at[np.argsort(rank[at], kind="stable")]
 
 
@@ -180,17 +177,23 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _shard(docs: list[list[bytes]], q: Queries) -> list[tuple[int, list[int], list[str], int, int | None]]:
-    """Of each document: words, hit places as merged start, end, items, the longest match and its place."""
+def _numbers(text: str | None, q: Queries) -> np.ndarray:
+    """A text's words as numbers of the block's vocabulary."""
+    words = alnum_words(text)
     get = q.vocab.get
+    return np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+
+
+def _shard(docs: list[np.ndarray], q: Queries) -> list[tuple[int, list[int], list[str], int, int | None]]:
+    """Of each document: words, hit places as merged start, end, items, the longest match and its place."""
     sizes = [len(d) for d in docs]
     out: list[tuple[int, list[int], list[str], int, int | None]] = [(n, [], [], 0, None) for n in sizes]
     if not len(q.rows):
         return out
     ends = np.cumsum([n + 1 for n in sizes])
-    words = np.zeros(int(ends[-1]) + 1, np.int64)
+    words = np.zeros(int(ends[-1]) + 1, np.int32)
     for d, end in zip(docs, ends.tolist(), strict=True):
-        words[end - 1 - len(d) : end - 1] = [get(w, 0) for w in d]
+        words[end - 1 - len(d) : end - 1] = d
     sa = suffix_array(words, q.depth)
     at, of = _spread(*search(words, sa, q))
     if not len(at):
@@ -225,7 +228,7 @@ def _covered(spans: list[int]) -> int:
 def _searched(batches: Iterator[pa.RecordBatch], at: int, q: Queries, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches (slices of those that come in) with their documents' results, shard by shard."""
     held: list[pa.RecordBatch] = []
-    words: list[list[bytes]] = []
+    words: list[np.ndarray] = []
     size = 0
 
     def done() -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -237,7 +240,7 @@ def _searched(batches: Iterator[pa.RecordBatch], at: int, q: Queries, shard_word
     for b in batches:
         start, texts = 0, b.column(at)
         for i in range(b.num_rows):
-            w = alnum_words(texts[i].as_py())
+            w = _numbers(texts[i].as_py(), q)
             if words and size + len(w) > shard_words:
                 if i > start:
                     held.append(b.slice(start, i - start))

@@ -483,9 +483,12 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     several rows have to be told apart by their texts.
     """
     of, named, seed = _named(pick(docs, id_col, text_col).toDF("id", "text"), seed)
+    # narrow and stored, so that their sizes are known where texts meet them
     of, named = stored(of, "rows"), stored(named, "named")
     several = of.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null").select("id")
+    several = stored(several, "several")
     first = of.join(named, "node", "left").where("id = coalesce(component_id, id)").select(F.col("id").alias("k")).join(several.select(F.col("id").alias("k")), "k", "left_anti").distinct()
+    first = stored(first, "first")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("i"))
     once = whole.join(first, F.col("i") == F.col("k"), "left_semi").select("d")
     again = whole.join(several.select(F.col("id").alias("k")), F.col("i").eqNullSafe(F.col("k")), "left_semi")
