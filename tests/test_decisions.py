@@ -83,11 +83,65 @@ def test_settings():
     assert (got.mode, got.rate_limit_count) == ("enforce", 7)
 
 
-def test_rules():
+def test_rules(spark):
     assert gates.rule_fault("a++") and gates.rule_fault("(") and not gates.rule_fault(r"delete\s+from")
+    assert gates.rule_fault("(?P<n>x)")
+    with pytest.raises(ValueError):
+        gates.regex_reason_column([("x", None)] * (gates.MAX_MERGED + 1), F.lit("a"), F.lit("b"))
     assert gates.java_pattern("[[:alpha:]_]+\\y") == "(?i)[\\p{Alpha}_]+\\b"
 
 
+def test_many_rules_are_joined(spark):
+    p = decide.Policy(approvals(spark, True))
+    table = spark.createDataFrame([(gates.java_pattern(f"x{k}\\y"), True, None) for k in range(gates.MAX_MERGED + 5)] + [("(?i)from t", True, ["app_0"])], "pattern string, is_active boolean, allowed_roles array<string>")
+    s = Settings(mode="permissive", enable_fingerprint_learning=False)
+    for text, role, refused in (("SELECT X7 FROM t", "app_0", True), ("SELECT v FROM t", "app_0", False), ("SELECT v FROM t", "app_1", True)):
+        r = decide.decide(one(spark, text, role=role), s, decide.Policy(p.approvals, rule_table=table)).first()
+        assert (r["reason"] == gates.REGEX_REASON) == refused
+
+
+def test_inner_writes_sources_and_installations(spark):
+    s, p = Settings(mode="enforce", enable_fingerprint_learning=False), decide.Policy(approvals(spark, True))
+    inner = lambda x: one(spark).withColumn("cte_families", F.array(*map(F.lit, x)).cast("array<string>"))
+    rows = decide.decide(inner(["INSERT", "INSERT", "DELETE"]), s, p).orderBy("inspection_no").collect()
+    assert [(r["command_type"], r["decision"]) for r in rows] == [("SELECT", "allowed"), ("INSERT", "blocked"), ("DELETE", "blocked")]
+    assert {r["sqlstate"] for r in decide.decide(inner(["FROB"]), s, p).collect()} == {"0A000"}
+    r = decide.decide(one(spark, None), s, p).first()
+    assert (r["sqlstate"], r["reason"]) == ("0A000", gates.NO_SOURCE) and decide.decide(one(spark, " \n"), s, p).count() == 0
+    for state, mode, want in (("active", "enforce", [None]), ("unavailable", "enforce", ["55000"]), ("unavailable", "learn", []), ("absent", "enforce", [])):
+        there = spark.createDataFrame([(1, state)], "db_oid long, state string")
+        assert [r["sqlstate"] for r in decide.decide(one(spark), Settings(mode=mode, enable_fingerprint_learning=False), p, installed=there).collect()] == want
+
+
+def test_addresses(spark):
+    import random
+
+    from warden.functions.text import ip_address
+
+    r = random.Random(1)
+    texts = ["::", "::1", "1::", "::ffff:10.0.0.1", "0:0:0:0:0:FFFF:1.2.3.4", "fe80::1%eth0", "1:0:0:2:0:0:3:4", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", ":::", "1:::2", ":1::2", "12345::", "g::", "1.2.3", "01.2.3.4", "[local]", "", None, "::1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", " 2001:DB8::A "]
+    for _ in range(500):
+        groups = [r.choice(["0", "0", "00", "1", "ab", "00fF", "10"]) for _ in range(r.choice([8, 7, 5, 9]))]
+        k = r.randrange(len(groups))
+        groups[k : k + 1] = r.choice([["", "3"], ["0"], [""]])
+        texts.append(":".join(groups))
+    got = spark.createDataFrame([(t,) for t in texts], "a string").select("a", ip_address(F.col("a")).alias("n")).collect()
+    assert [(x["a"], x["n"]) for x in got] == [(t, normal_ip(t)) for t in texts]
+    s = Settings(mode="permissive", enable_ip_blocking=True, blocked_ips="2001:db8::1", enable_role_ip_binding=True, role_ip_bindings="app_0@2001:db8::2", enable_fingerprint_learning=False)
+    p = decide.Policy(approvals(spark, True))
+    for ip, refused in (("2001:DB8:0::1", True), ("2001:db8:0:0::2", False), ("2001:db8::3", True), (None, True)):
+        assert (decide.decide(one(spark, ip=ip), s, p).first()["action"] == "BLOCKED") == refused
+
+
+def test_each_event_has_its_own_threshold(spark):
+    table = spark.createDataFrame([("f", "r", "SELECT", 2, False, False)], "fingerprint string, role_name string, command_type string, hit_count int, is_approved boolean, auto_approval_disabled boolean")
+    cols = "fingerprint string, role_name string, command_type string, hits long, learn_threshold int, position long"
+    for events, want in (([(1, 3, 1), (1, 9, 2)], True), ([(1, 9, 1), (1, 4, 2)], True), ([(1, 4, 1), (1, 9, 2)], False), ([(5, 0, 1)], False)):
+        rows = [("f", "r", "SELECT", h, t, p) for h, t, p in events]
+        got = learn.upsert_hits(table, spark.createDataFrame(rows, cols)).first()
+        assert (got["is_approved"], got["hit_count"]) == (want, 2 + sum(e[0] for e in events)), events
+
+
 def test_schema_guard(spark):
     df = spark.range(1)
     with pytest.raises(SchemaError):
@@ -109,7 +163,14 @@ def test_store_and_engine(spark, tmp_path):
         PolicyStore(spark, store.path).approve_command("a", "b")
     e = Engine(spark, store, Settings(fingerprint_learn_threshold=1))
     e.learn(one(spark, command="INSERT"))
-    assert e.store.read("query_fingerprints").first()["is_approved"]
+    e.learn(one(spark, "SELECT 1 OR 1 = 1", command="UPDATE"))  # refused, so it teaches nothing
+    e.learn(one(spark, "CALL p()", command="OTHER"))
+    learned = e.store.read("query_fingerprints").collect()
+    assert [(r["command_type"], r["hit_count"], r["is_approved"], r["sample_query"]) for r in learned] == [("INSERT", 1, True, "SELECT v FROM t WHERE id = 7")]
+    assert learned[0]["normalized_query"].startswith("v3: SELECT ") and learned[0]["first_seen_at"] == learned[0]["last_seen_at"] == dt.datetime(2024, 1, 1)
+    assert sorted(r["command_type"] for r in store.read("command_approvals").collect()) == ["INSERT", "SELECT"]
+    Engine(spark, store, Settings(mode="enforce")).learn(one(spark, command="DELETE"))
+    assert store.read("command_approvals").count() == 2
     assert e.status() == "running in learn mode" and e.decide(one(spark)).first()["action"] == "ALLOWED (LEARN MODE - PENDING)"
     before = {n: audit.policy_digest(store.read(n)).first() for n in ("command_approvals", "query_fingerprints", "regex_rules")}
     store.dump(f"file://{tmp_path}/dump")
@@ -153,6 +214,27 @@ def test_stream_decides_and_restarts(spark, tmp_path, sf_dir):
     assert spark.read.parquet(f"{out}/blocked").select("stmt_id").distinct().count() == want
 
 
+def test_rates_and_learning_go_on_over_micro_batches(spark, tmp_path):
+    """Three batches of one role's statements: windows stay open, and what one batch learned holds in the next."""
+    from warden.sources.statements import stream
+    from warden.streaming.pipeline import decide_stream
+
+    at = lambda k: dt.datetime(2024, 1, 1, 0, k)
+    rows = [(k, at(k), 1, "db", 100, "app_0", "SELECT", "10.0.0.9", "psql", f"SELECT v FROM t WHERE id = {k}", k, k != 1) for k in range(9)]
+    s = Settings(mode="learn", enable_rate_limiting=True, rate_limit_count=5, rate_limit_seconds=420, fingerprint_learn_threshold=3)
+    p = decide.Policy(approvals(spark, None))
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k in range(3):
+        spark.createDataFrame(rows[3 * k : 3 * k + 3], STATEMENTS).coalesce(1).write.mode("append").parquet(src)
+        decide_stream(stream(spark, src), s, lambda _: p, out, f"{tmp_path}/cp", keep_learning=True).awaitTermination(100)
+    assert sorted(r["stmt_id"] for r in spark.read.parquet(f"{out}/blocked").collect()) == [5, 6]  # the window ends at minute 7
+    learned = [spark.read.parquet(f"{out}/state/fingerprints/batch={k}").first() for k in range(3)]
+    assert [(r["hit_count"], r["is_approved"]) for r in learned] == [(2, False), (4, True), (4, True)]
+    actions = {(r["stmt_id"], r["action"]) for r in spark.read.parquet(f"{out}/activity").collect()}
+    assert (0, "ALLOWED (LEARN MODE - AUTO)") in actions and (3, "ALLOWED") in actions
+    assert sum(a.startswith("LEARNED") for _, a in actions) == 1
+
+
 def test_rate_stream_equals_batch(spark, tmp_path, sf_dir):
     from warden.operators import rate
     from warden.plans.queries import log

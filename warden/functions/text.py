@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,28 +53,44 @@ def ip_address(c: Column) -> Column:
     return F.when(bare.rlike(f"^{_IPV4}$"), bare).when(bare.contains(":"), _ipv6(bare))
 
 
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _ipv6(bare: Column) -> Column:
     """An address with colons: eight groups, the longest row of zero groups (two at least, the first of equals) shortened."""
-    at = rf"^([0-9a-f:]*:)({_OCTET})\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-    part = lambda k: F.regexp_extract(bare, at, k).try_cast("int")
-    tail = F.concat(F.regexp_extract(bare, at, 1), _hex(part(3) * 256 + part(4)), F.lit(":"), _hex(part(5) * 256 + part(6)))
-    text = F.when(bare.rlike(at), tail).otherwise(bare)
-    halves = F.split(text, "::")
-    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    fits = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing >= 1))
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    good = fits & F.forall(every, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
-    plain = F.array_join(F.transform(every, lambda x: F.regexp_replace(x, "^0{1,3}(?=.)", "")), ":")
-    mapped = F.regexp_extract(plain, "^0:0:0:0:0:ffff:([0-9a-f]+):([0-9a-f]+)$", 1)
-    word = lambda k: F.conv(F.regexp_extract(plain, "^0:0:0:0:0:ffff:([0-9a-f]+):([0-9a-f]+)$", k), 16, 10).cast("int")
-    octets = F.concat_ws(".", *[F.shiftright(word(k), s).bitwiseAND(F.lit(255)).cast("string") for k in (1, 2) for s in (8, 0)])
-    short = plain
-    for n in range(2, 9):
-        row = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
-        short = F.when(plain.rlike(row), F.regexp_replace(plain, row, "$1::$2")).otherwise(short)
-    return F.when(good, F.when(mapped != "", octets).otherwise(short))
+    at = rf"^([0-9a-f:]*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+    none = F.array().cast("array<string>")
+
+    def in_groups(text: Column) -> Column:
+        part = lambda k: F.regexp_extract(text, at, k).try_cast("int")
+        return F.when(text.rlike(at), F.concat(F.regexp_extract(text, at, 1), _hex(part(2) * 256 + part(3)), F.lit(":"), _hex(part(4) * 256 + part(5)))).otherwise(text)
+
+    def expanded(halves: Column) -> Column:
+        side = lambda k: F.coalesce(F.filter(F.split(F.get(halves, F.lit(k)), ":"), lambda x, i: (x != "") | (F.get(halves, F.lit(k)) != "")), none)
+        return _let(F.struct(side(0).alias("l"), side(1).alias("r"), F.size(halves).alias("n")), filled)
+
+    def filled(x: Column) -> Column:
+        missing = 8 - F.size(x["l"]) - F.size(x["r"])
+        fits = ((x["n"] == 1) & (missing == 0)) | ((x["n"] == 2) & (missing >= 1))
+        return F.when(fits, F.concat(x["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["r"]))
+
+    def plain(groups: Column) -> Column:
+        good = F.forall(groups, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(groups, lambda x: F.regexp_replace(x, "^0{1,3}(?=.)", "")), ":"))
+
+    def short(text: Column) -> Column:
+        mapped = "^0:0:0:0:0:ffff:([0-9a-f]+):([0-9a-f]+)$"
+        word = lambda k: F.conv(F.regexp_extract(text, mapped, k), 16, 10).cast("int")
+        octets = F.concat_ws(".", *[F.shiftright(word(k), n).bitwiseAND(F.lit(255)).cast("string") for k in (1, 2) for n in (8, 0)])
+        out = text
+        for n in range(2, 9):
+            row = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+            out = F.when(text.rlike(row), F.regexp_replace(text, row, "$1::$2")).otherwise(out)
+        return F.when(text.rlike(mapped), octets).otherwise(out)
+
+    return _let(_let(_let(F.split(_let(bare, in_groups), "::"), expanded), plain), short)
 
 
 def _hex(c: Column) -> Column:

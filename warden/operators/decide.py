@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexed, native_lex
+from ..functions import families, lexed, native_lex
 from ..functions.text import utf8_cut, utf8_prefix
 from ..settings import Settings
-from . import gates, rate
+from . import gates, rate, shaping
 
 QUERY_BYTES = 2047
 SAMPLE_BYTES = 511
@@ -25,6 +25,7 @@ class Policy:
     rules: tuple[tuple[str, tuple[str, ...] | None], ...] = ()  # (pattern, exempt roles)
     system_identifier: int = 0
     extension_oid: int = 0
+    rule_table: DataFrame | None = None  # pattern (Java dialect), is_active, allowed_roles: more rules than are merged into the plan
 
 
 def decision_class(action: Column) -> Column:
@@ -48,27 +49,48 @@ def gate_reasons(statements: DataFrame, s: Settings, policy: Policy, server_zone
     c = F.col
     if "_tokens" not in statements.columns:
         statements = lexed.with_tokens(statements)
+    rules = gates.regex_reason_column([(p, list(x) if x else None) for p, x in policy.rules] if s.enable_regex_scan else [], c("query_text"), c("role_name"))
+    if s.enable_regex_scan and policy.rule_table is not None:
+        hit = gates.regex_blocked(statements.select("stmt_id", "query_text", "role_name"), policy.rule_table).select(c("stmt_id").alias("_hit")).distinct()
+        statements = statements.join(hit, c("stmt_id") == c("_hit"), "left")
+        rules = F.coalesce(rules, F.when(c("_hit").isNotNull(), F.lit(gates.REGEX_REASON)))
+    source = F.when(c("query_text").isNull(), F.lit(gates.NO_SOURCE))
+    if "cte_families" in statements.columns:
+        source = F.coalesce(source, F.when(families.unknown_inner(c("cte_families")), F.lit(gates.UNKNOWN_WRITE)))
     session = F.coalesce(gates.ip_reason(s, c("client_addr")), gates.app_reason(s, c("application_name")), gates.binding_reason(s, c("role_name"), c("client_addr")))
     steps = [
-        (session, "42501"), (gates.quiet_reason(s, c("decided_at"), server_zone), "42501"), (gates.keyword_reason(s, c("query_text"), c("_tokens")), "42000"), (gates.tautology_reason(s, c("query_text"), c("_tokens")), "42501"),
-        (gates.regex_reason_column([(p, list(x) if x else None) for p, x in policy.rules] if s.enable_regex_scan else [], c("query_text"), c("role_name")), "42501"),
+        (source, "0A000"), (session, "42501"), (gates.quiet_reason(s, c("decided_at"), server_zone), "42501"), (gates.keyword_reason(s, c("query_text"), c("_tokens")), "42000"), (gates.tautology_reason(s, c("query_text"), c("_tokens")), "42501"),
+        (rules, "42501"),
     ]
     first = F.coalesce(*[F.when(reason.isNotNull(), F.struct(reason.alias("reason"), F.lit(state).alias("sqlstate"))) for reason, state in steps])
-    return statements.withColumn("_gate", first).withColumns({"gate_reason": c("_gate.reason"), "gate_sqlstate": c("_gate.sqlstate")}).drop("_gate")
+    return statements.withColumn("_gate", first).withColumns({"gate_reason": c("_gate.reason"), "gate_sqlstate": c("_gate.sqlstate")}).drop("_gate", "_hit")
 
 
-def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str = "UTC") -> DataFrame:
+def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str = "UTC", rates: DataFrame | None = None, installed: DataFrame | None = None) -> DataFrame:
     """Every inspected statement with decision, action, reason, sqlstate, fingerprint, and fingerprint_action for a second audit row.
 
     Approvals and fingerprints are left-joined by key. Where they are small
-    Spark broadcasts them; else both sides are shuffled by key.
+    Spark broadcasts them; else both sides are shuffled by key. A statement with
+    ``cte_families`` is inspected once for itself and once for each distinct
+    write inside (``inspection_no``). ``rates``: windows that earlier statements
+    left open (``rate.STATE``); rows then carry theirs. ``installed`` (db_oid,
+    state): databases without it are not inspected; where its catalog is
+    unavailable, enforce mode refuses (55000) and the others stop.
     """
     c = F.col
-    rows = gate_reasons(gates.inspected(statements, s), s, policy, server_zone)
-    limited = s.enable_rate_limiting or any(s.command_limit(x) for x in ("SELECT", "INSERT", "UPDATE", "DELETE"))
-    if limited:
-        open_ = rate.rate_reasons(rows.where("gate_reason is null and role_name is not null"), s)
-        rows = open_.unionByName(rows.where("gate_reason is not null or role_name is null").withColumn("rate_reason", F.lit(None).cast("string")))
+    rows = gates.inspected(statements, s)
+    if installed is not None:
+        rows = shaping.installation_state(rows, installed, s.mode).where("verdict in ('inspect', 'refuse')")
+    if "cte_families" in rows.columns:
+        rows = families.fan_out(rows.drop("family")).withColumn("command_type", c("family")).drop("family")
+    rows = gate_reasons(rows, s, policy, server_zone)
+    if installed is not None:
+        lost = c("verdict") == "refuse"
+        rows = rows.withColumns({"gate_reason": F.when(lost, F.lit(gates.UNAVAILABLE)).otherwise(c("gate_reason")), "gate_sqlstate": F.when(lost, F.lit("55000")).otherwise(c("gate_sqlstate"))}).drop("verdict")
+    if rate.limited(s):
+        open_ = rate.rate_reasons(rows.where("gate_reason is null and role_name is not null"), s, rates)
+        rest = rows.where("gate_reason is not null or role_name is null")
+        rows = open_.unionByName(rest.withColumn("rate_reason", F.lit(None).cast("string")), allowMissingColumns=True)
         rows = rows.withColumns({"gate_sqlstate": F.coalesce("gate_sqlstate", F.when(c("rate_reason").isNotNull(), "53400")), "gate_reason": F.coalesce("gate_reason", "rate_reason")}).drop("rate_reason")
     rows = fingerprinted(rows, policy)
     approvals = policy.approvals.select(c("role_name").alias("_ar"), c("command_type").alias("_ac"), c("is_approved").alias("_approved"))
@@ -109,9 +131,9 @@ def decide(statements: DataFrame, s: Settings, policy: Policy, server_zone: str
     else:
         # the first observation of a key that has no row in the snapshot
         rows = rows.withColumn("_new", staged & c("_fp").isNull())
-        firsts = rows.where("_new").groupBy("fingerprint", "role_name", "command_type").agg(F.min("stmt_id").alias("_first"))
-        firsts = firsts.select(c("_first"), F.lit("LEARNED (FINGERPRINT AUTO)").alias("fingerprint_action"))
-        rows = rows.join(firsts, c("stmt_id") == c("_first"), "left").drop("_first", "_new")
+        firsts = rows.where("_new").groupBy("fingerprint", "role_name", c("command_type").alias("_command")).agg(F.min("stmt_id").alias("_first"))
+        firsts = firsts.select("_first", "_command", F.lit("LEARNED (FINGERPRINT AUTO)").alias("fingerprint_action"))
+        rows = rows.join(firsts, (c("stmt_id") == c("_first")) & (c("command_type") == c("_command")), "left").drop("_first", "_command", "_new")
     decision = F.when(c("action") == "BLOCKED", "blocked").otherwise(decision_class(c("action")))
     rows = rows.withColumns({"decision": decision, "sqlstate": F.when(c("action") == "BLOCKED", F.coalesce("gate_sqlstate", F.lit("42501")))})
     return rows.drop("_ar", "_ac", "_approved", "_ff", "_fr", "_fc", "_fp", "gate_reason", "gate_sqlstate", "canonical_sqlstate")

@@ -10,6 +10,7 @@ import re
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from ..functions import lexed
 from ..functions.text import ip_address, lower_ascii
 from ..settings import Settings, ascii_lower, items, minute_of_day, normal_ip, role_ip
 
+#: The texts of refusals, here and below.
+NO_SOURCE = "executable plan has no SQL source text for policy inspection"
+UNKNOWN_WRITE = "data-modifying CTE is of no known write command"
+UNAVAILABLE = "policy catalog is unavailable"
 TAUTOLOGY_REASON = "Query matched default injection pattern."
 REGEX_REASON = "Query blocked by security regex pattern."
 
@@ -100,8 +105,8 @@ def rule_fault(pattern: str, spark: SparkSession | None = None) -> str | None:
         raise RuntimeError("a rule is compiled where it runs, which takes a session")
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
-    except Py4JJavaError as e:
-        return f"invalid pattern: {e.java_exception.getMessage()}"
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        return f"invalid pattern: {e}"
     return None
 
 
@@ -136,13 +141,15 @@ def regex_reason_column(rules: list[tuple[str, list[str] | None]], text: Column,
 
 
 def inspected(statements: DataFrame, s: Settings) -> DataFrame:
-    """Statements that are inspected at all: not those of exempt workers, the filter's own, roll-backs, or bypassing superusers.
+    """Statements that are inspected at all: not blank ones, those of exempt workers, the filter's own, roll-backs, or bypassing superusers.
+
+    A statement without any text is a plan without a source, which is refused later.
 
     Uses the columns backend_kind, is_internal, is_superuser and family where they are there.
     """
     if not s.enabled:
         return statements.where(F.lit(False))
-    out = statements.where(F.btrim("query_text", F.lit(" \t\n\r\x0b\x0c")) != "")
+    out = statements.where(F.col("query_text").isNull() | (F.btrim("query_text", F.lit(" \t\n\r\x0b\x0c")) != ""))
     have = set(statements.columns)
     if "backend_kind" in have:
         out = out.where(~F.coalesce(F.col("backend_kind").isin("parallel worker", "logical replication", "own worker"), F.lit(False)))

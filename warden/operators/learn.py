@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import utf8_cut, utf8_prefix
+from ..settings import Settings
+
 MAX_HITS = 2147483647
 TXN_CAP = 1024
 KEY = ["fingerprint", "role_name", "command_type"]
@@ -31,14 +34,74 @@ def capped(observations: DataFrame, cap: int = TXN_CAP) -> DataFrame:
     return observations.join(ranked, ["txn_id", *KEY])
 
 
+#: What a fingerprint's row tells of the statements seen, beside its counts.
+SEEN = ("normalized_query", "sample_query", "first_seen_at", "last_seen_at")
+
+
+def _own_thresholds(events: DataFrame) -> DataFrame:
+    """(key, _hits, _margin): all hits, and the most by which hits up to an event exceed that event's own threshold.
+
+    Of the events with one threshold only the last can matter, and a key has
+    one threshold unless the setting was changed in between; so hits are summed
+    up to each threshold's last event, without a window over a key's events.
+    """
+    if "position" not in events.columns:
+        events = events.withColumn("position", F.lit(0))
+    lasts = events.where("learn_threshold > 0").groupBy(*KEY, F.col("learn_threshold").alias("_t")).agg(F.max("position").alias("_last"))
+    upto = events.join(lasts, KEY).where("position <= _last").groupBy(*KEY, "_t").agg(F.sum("hits").alias("_upto"))
+    margin = upto.groupBy(*KEY).agg(F.max(F.col("_upto") - F.col("_t")).alias("_margin"))
+    return events.groupBy(*KEY).agg(F.least(F.sum("hits"), F.lit(MAX_HITS)).alias("_hits")).join(margin, KEY, "left")
+
+
 def upsert_hits(table: DataFrame, events: DataFrame) -> DataFrame:
-    """The fingerprint table after the events (key, hits, learn_threshold): counts saturate, a reached threshold approves unless denied."""
-    new = events.groupBy(*KEY).agg(F.least(F.sum("hits"), F.lit(MAX_HITS)).alias("_hits"), F.max("learn_threshold").alias("_threshold"))
-    both = table.join(new, KEY, "full_outer")
-    total = F.least(F.coalesce("hit_count", F.lit(0)).cast("long") + F.coalesce("_hits", F.lit(0)), F.lit(MAX_HITS)).cast("int")
+    """The fingerprint table after the events (key, hits, learn_threshold, position): counts saturate, and an event whose own threshold is reached approves unless denied.
+
+    With ``seen_at``, ``normalized_query`` and ``sample_query`` in the events the
+    table's columns of ``SEEN`` are kept up, too: texts are the first event's.
+    """
+    both = table.join(_own_thresholds(events), KEY, "full_outer")
+    old = F.coalesce("hit_count", F.lit(0)).cast("long")
+    total = F.least(old + F.coalesce("_hits", F.lit(0)), F.lit(MAX_HITS)).cast("int")
     denied = F.coalesce("auto_approval_disabled", F.lit(False))
-    reached = (F.coalesce("_threshold", F.lit(0)) > 0) & ~denied & (total >= F.col("_threshold"))
-    return both.select(*KEY, total.alias("hit_count"), (F.coalesce("is_approved", F.lit(False)) | F.coalesce(reached, F.lit(False))).alias("is_approved"), denied.alias("auto_approval_disabled"))
+    reached = ~denied & F.coalesce(old + F.col("_margin") >= 0, F.lit(False))
+    out = [total.alias("hit_count"), (F.coalesce("is_approved", F.lit(False)) | reached).alias("is_approved"), denied.alias("auto_approval_disabled")]
+    if "seen_at" not in events.columns:
+        return both.select(*KEY, *out)
+    text = lambda name: F.min_by(name, "position").alias(f"_{name}")
+    seen = events.groupBy(*KEY).agg(text("normalized_query"), text("sample_query"), F.min("seen_at").alias("_first"), F.max("seen_at").alias("_until"))
+    had = [c if c in table.columns else None for c in SEEN]
+    was = [F.lit(None) if c is None else F.col(c) for c in had]
+    now = [F.coalesce(was[0], F.col("_normalized_query")), F.coalesce(was[1], F.col("_sample_query")), F.coalesce(was[2], F.col("_first")), F.coalesce(F.col("_until"), was[3])]
+    return both.join(seen, KEY, "left").select(*KEY, *out, *[c.alias(name) for c, name in zip(now, SEEN, strict=True)])
+
+
+def normalized_query(canonical: Column) -> Column:
+    """The canonical text as it is stored: with its version, and in 1,023 bytes."""
+    return utf8_prefix(F.concat(F.lit("v3: "), canonical), 1023)
+
+
+def learn_sample(text: Column) -> Column:
+    """A learned statement's sample: 512 bytes and an ellipsis, in 511 bytes."""
+    return utf8_prefix(F.when(utf8_cut(text, 512), F.concat(utf8_prefix(text, 512), F.lit("..."))).otherwise(text), 511)
+
+
+def observed(decided: DataFrame, s: Settings, fingerprints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What decided statements teach: commands (role_name, command_type, position) and fingerprint hits.
+
+    Only learn mode teaches, and only statements that were allowed, of known
+    roles and commands, in committed transactions; approved fingerprints are not
+    counted any more. Hits are merged by transaction and capped.
+    """
+    rows = committed(decided.where(F.lit(s.mode == "learn")).where("decision <> 'blocked' and command_type <> 'OTHER' and role_name is not null")).withColumn("position", F.col("stmt_id"))
+    commands = rows.where("action = 'ALLOWED (LEARN MODE - AUTO)'").select("role_name", "command_type", "position")
+    hits = rows.where(F.lit(s.enable_fingerprint_learning)).where("fingerprint is not null")
+    if fingerprints is not None:
+        hits = hits.join(fingerprints.where("is_approved").select(*KEY), KEY, "left_anti")
+    told = ["seen_at", "normalized_query", "sample_query"]
+    hits = hits.select("txn_id", *KEY, "position", F.col("decided_at").alias(told[0]), normalized_query(F.col("canonical")).alias(told[1]), learn_sample(F.col("query_text")).alias(told[2]))
+    once = hits.groupBy("txn_id", *KEY).agg(F.count("position").alias("hits"), F.min("position").alias("position"), F.max(told[0]).alias(told[0]), *[F.min_by(c, "position").alias(c) for c in told[1:]])
+    once = once.withColumns({"learn_threshold": F.lit(s.fingerprint_learn_threshold), "policy_epoch": F.lit(0).cast("long")})
+    return commands, capped(once).where("kept").drop("kept")
 
 
 def threshold_crossings(events: DataFrame, threshold: int) -> DataFrame:

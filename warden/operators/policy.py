@@ -81,7 +81,8 @@ class PolicyStore:
     def write(self, name: str, table: DataFrame) -> int:
         self._guard()
         n = self.version(name) + 1
-        table.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]]).write.parquet(f"{self.path}/{name}/v={n}")
+        cells = [(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
+        table.select(*cells).write.parquet(f"{self.path}/{name}/v={n}")
         return n
 
     def _guard(self) -> None:

@@ -22,7 +22,10 @@ STATEMENTS = _struct(
     "client_addr STRING, application_name STRING, query_text STRING, txn_id BIGINT, committed BOOLEAN"
 )
 COMMAND_APPROVALS = _struct("role_name STRING, command_type STRING, is_approved BOOLEAN")
-QUERY_FINGERPRINTS = _struct("fingerprint STRING, role_name STRING, command_type STRING, hit_count INT, is_approved BOOLEAN, auto_approval_disabled BOOLEAN")
+QUERY_FINGERPRINTS = _struct(
+    "fingerprint STRING, role_name STRING, command_type STRING, hit_count INT, is_approved BOOLEAN, auto_approval_disabled BOOLEAN, "
+    "normalized_query STRING, sample_query STRING, first_seen_at TIMESTAMP_NTZ, last_seen_at TIMESTAMP_NTZ"
+)
 REGEX_RULES = _struct("id INT, pattern STRING, description STRING, action STRING, is_active BOOLEAN, allowed_roles ARRAY<STRING>, installation_default STRING")
 ROLE_IP_BINDINGS = _struct("role_name STRING, ip STRING")
 ACTIVITY_LOG = _struct(

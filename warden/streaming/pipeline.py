@@ -9,6 +9,7 @@ repeated batch overwrites itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Any
 
 import pandas as pd
@@ -16,19 +17,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import decide
+from ..operators import decide, learn, rate
 from ..operators.decide import Policy
+from ..schema import QUERY_FINGERPRINTS
 from ..settings import Settings
 
 
-def decide_stream(statements: DataFrame, settings: Settings, policy: Callable[[SparkSession], Policy], out: str, checkpoint: str, dead_letter: bool = True) -> StreamingQuery:
-    """Decides every micro-batch and writes ``activity``, ``blocked`` and ``malformed`` under ``out``, by batch id."""
+def _carried(spark: SparkSession, out: str, name: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left (None for the first one)."""
+    path = f"{out}/state/{name}/batch={batch_id - 1}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def decide_stream(
+    statements: DataFrame, settings: Settings, policy: Callable[[SparkSession], Policy], out: str, checkpoint: str, dead_letter: bool = True, every: str | None = None, keep_learning: bool = False
+) -> StreamingQuery:
+    """Decides every micro-batch and writes ``activity``, ``blocked`` and ``malformed`` under ``out``, by batch id.
+
+    Open rate windows, and with ``keep_learning`` the policy that learn mode has
+    grown, go on from batch to batch in ``state``: each batch reads what the one
+    before it wrote and writes its own, so a repeated batch changes nothing.
+    ``every``: polls at that interval; else what is there is read once.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         good, bad = well_formed(df)
-        decided = decide.decide(good, settings, policy(spark)).persist()
+        now, rates = policy(spark), None
+        if keep_learning:
+            approvals, prints = _carried(spark, out, "approvals", batch_id), _carried(spark, out, "fingerprints", batch_id)
+            now = replace(now, approvals=now.approvals if approvals is None else approvals, fingerprints=now.fingerprints if prints is None else prints)
+        if rate.limited(settings):
+            rates = _carried(spark, out, "rates", batch_id)
+            rates = spark.createDataFrame([], rate.STATE) if rates is None else rates
+        decided = decide.decide(good, settings, now, rates=rates).persist()
         try:
+            if rates is not None:
+                rate.next_state(decided, rates).write.mode("overwrite").parquet(f"{out}/state/rates/batch={batch_id}")
+            if keep_learning:
+                table = spark.createDataFrame([], QUERY_FINGERPRINTS) if now.fingerprints is None else now.fingerprints
+                commands, hits = learn.observed(decided, settings, table)
+                learn.learned_approvals(now.approvals, commands).write.mode("overwrite").parquet(f"{out}/state/approvals/batch={batch_id}")
+                learn.upsert_hits(table, hits).write.mode("overwrite").parquet(f"{out}/state/fingerprints/batch={batch_id}")
             if settings.enable_activity_logging:
                 decide.activity_rows(decided).write.mode("overwrite").parquet(f"{out}/activity/batch={batch_id}")
             decide.blocked_rows(decided).write.mode("overwrite").parquet(f"{out}/blocked/batch={batch_id}")
@@ -37,7 +68,8 @@ def decide_stream(statements: DataFrame, settings: Settings, policy: Callable[[S
         finally:
             decided.unpersist()
 
-    return statements.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return statements.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def well_formed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
