@@ -185,6 +185,36 @@ def normalized_ip(spark, sf_dir):
     return log(spark, sf_dir).select("stmt_id", ip_address(shown).alias("ip"))
 
 
+@query(f"""{BASE} SELECT stmt_id, CASE stmt_id % 6 WHEN 0 THEN '2001:db8::' || (1 + stmt_id % 9) WHEN 1 THEN '10.1.2.' || (stmt_id % 200) WHEN 2 THEN 'fe80::' || (1 + stmt_id % 9) || ':0:0:1' WHEN 3 THEN '2001:db8:0:1:1:1:1:' || (1 + stmt_id % 9) WHEN 4 THEN '10.0.' || (stmt_id % 99) || '.7' END AS ip FROM stmts""")
+def normalized_ip_mixed(spark, sf_dir):
+    """Long and short IPv6 forms, zones, mapped addresses and what is no address, by value."""
+    i, kind = F.col("stmt_id"), F.col("stmt_id") % 6
+    digit, octet = (1 + i % 9).cast("string"), lambda n: (i % n).cast("string")
+    shown = (
+        F.when(kind == 0, F.concat(F.lit("2001:0DB8:0:0:0::000"), digit)).when(kind == 1, F.concat(F.lit("0:0:0:0:0:ffff:10.1.2."), octet(200)))
+        .when(kind == 2, F.concat(F.lit(" fe80:0:0:0:"), digit, F.lit("::1%eth0"))).when(kind == 3, F.concat(F.lit("2001:db8:0000:1:01:001:0001:"), digit))
+        .when(kind == 4, F.concat(F.lit("10.0."), octet(99), F.lit(".7"))).otherwise(F.lit("[local]"))
+    )
+    return log(spark, sf_dir).select("stmt_id", ip_address(shown).alias("ip"))
+
+
+@query(f"""{BASE}, p AS (SELECT stmt_id, CASE stmt_id % 3 WHEN 0 THEN '[[:digit:]]+ or' WHEN 1 THEN 'public.t' || (stmt_id % 5) ELSE '[[:space:]]+set[[:space:]]' END AS pattern FROM stmts)
+SELECT stmt_id, CASE stmt_id % 3 WHEN 0 THEN regexp_matches(query_text, '(?i)[0-9]+ or') WHEN 1 THEN regexp_matches(query_text, '(?i)public.t' || (stmt_id % 5)) ELSE regexp_matches(query_text, '(?i)[ \t\n\r\f\v]+set[ \t\n\r\f\v]') END AS hit FROM stmts JOIN p USING (stmt_id)""")
+def java_patterns(spark, sf_dir):
+    """Patterns of a table in the other dialect, matched row by row."""
+    i = F.col("stmt_id")
+    pattern = F.when(i % 3 == 0, F.lit("[[:digit:]]+ or")).when(i % 3 == 1, F.concat(F.lit("public.t"), (i % 5).cast("string"))).otherwise(F.lit("[[:space:]]+set[[:space:]]"))
+    return log(spark, sf_dir).withColumn("_p", gates.java_pattern_column(pattern)).select("stmt_id", F.expr("query_text rlike _p").alias("hit"))
+
+
+@query(f"""{LEXED} SELECT stmt_id, 'v3: ' || canonical AS normalized_query, CASE WHEN stmt_id % 2 = 0 THEN query_text ELSE left(repeat(query_text, 20), 511) END AS sample_query FROM canon""")
+def stored_samples(spark, sf_dir):
+    """What a learned fingerprint's row says of its first statement; every other one is long."""
+    rows = decide.fingerprinted(log(spark, sf_dir), policy(spark))
+    text = F.when(F.col("stmt_id") % 2 == 0, F.col("query_text")).otherwise(F.repeat("query_text", 20))
+    return rows.select("stmt_id", learn.normalized_query(F.col("canonical")).alias("normalized_query"), learn.learn_sample(text).alias("sample_query"))
+
+
 # --- gates
 
 
